@@ -1,0 +1,74 @@
+"""Column expressions shared by the operators. All of them stay inside codegen."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftmart.spec import Metric
+
+# Tolerances of the numeric comparison.
+RELATIVE_TOLERANCE = 1e-5
+ABSOLUTE_TOLERANCE = 1e-8
+
+
+def month_start(date_column: str) -> Column:
+    """First day of the month, as a date."""
+    return F.trunc(F.col(date_column), "month")
+
+
+def nan_to_null(column: str) -> Column:
+    """Spark averages propagate NaN and ``NaN >= t`` is true, so a NaN reading has to become NULL."""
+    return F.nanvl(F.col(column), F.lit(None).cast("double"))
+
+
+def mean_of(metric: Metric) -> Column:
+    """Average of a metric; NULL readings are skipped.
+
+    With known decimals the sum runs over whole units (a long): exact, and cheaper
+    than a decimal sum because neither the cast nor the buffer leaves primitives.
+    """
+    value = F.col(metric.name)
+    if metric.decimals is None:
+        return F.avg(value)
+    unit = float(10**metric.decimals)
+    units = F.sum(F.rint(value * F.lit(unit)).cast("long"))
+    return F.try_divide(units.cast("double") / F.lit(unit), F.count(value))
+
+
+def zero_safe_ratio(delta: Column, base: Column) -> Column:
+    """``delta / base``; NULL for a zero or missing base (ANSI division would raise)."""
+    return F.try_divide(delta, base)
+
+
+def threshold_flag(ratio: str, threshold: float) -> Column:
+    """1 if ``|ratio|`` reaches the threshold, else 0; a missing ratio is no signal."""
+    return F.when(F.abs(F.col(ratio)) >= F.lit(threshold), 1).otherwise(0)
+
+
+def share_of(flag: str) -> Column:
+    """Mean of a 0/1 column from two longs, hence exact whatever the task order."""
+    return F.sum(F.col(flag)).cast("double") / F.count(F.lit(1))
+
+
+def is_close(a: Column, b: Column) -> Column:
+    """Approximate equality, scaled by ``b``; two missing values are equal."""
+    a, b = a.cast("double"), b.cast("double")
+    finite = F.abs(b) < F.lit(float("inf"))
+    near = F.abs(a - b) <= F.lit(ABSOLUTE_TOLERANCE) + F.lit(RELATIVE_TOLERANCE) * F.abs(b)
+    return a.eqNullSafe(b) | F.coalesce(finite & near, F.lit(False))
+
+
+def same_value(a: Column, b: Column, data_type: T.DataType) -> Column:
+    """Tolerant for numbers, exact for everything else, NULL equals NULL."""
+    if isinstance(data_type, T.NumericType):
+        return is_close(a, b)
+    return a.eqNullSafe(b)
+
+
+def all_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda x, y: x & y, conditions)
