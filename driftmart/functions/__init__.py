@@ -1,23 +1 @@
-from driftmart.functions.columns import (
-    all_of,
-    is_close,
-    mean_of,
-    month_start,
-    nan_to_null,
-    same_value,
-    share_of,
-    threshold_flag,
-    zero_safe_ratio,
-)
 
-__all__ = [
-    "all_of",
-    "is_close",
-    "mean_of",
-    "month_start",
-    "nan_to_null",
-    "same_value",
-    "share_of",
-    "threshold_flag",
-    "zero_safe_ratio",
-]

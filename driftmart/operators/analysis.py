@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmart.functions import share_of
+from driftmart.functions.expressions import share_of
 from driftmart.spec import BAD_STATUSES, STATION_MODE, MonitoringSpec
 
 
@@ -25,7 +25,7 @@ def bad_status_rate(
     rates = mart.groupBy(*spec.series_keys).agg(
         F.sum("anomaly_or_critical_with_events").alias("anomaly_or_critical_event_months"),
         F.count(F.lit(1)).alias("total_months"),
-        share_of("anomaly_or_critical_with_events").alias("anomaly_or_critical_rate"),
+        F.expr(share_of("anomaly_or_critical_with_events")).alias("anomaly_or_critical_rate"),
     )
     return _top(
         rates,
@@ -62,7 +62,7 @@ def mode_overlap_rate(
     rates = mart.groupBy(spec.mode).agg(
         F.sum("problematic_with_events").alias("problematic_with_events_months"),
         F.count(F.lit(1)).alias("total_rows"),
-        share_of("problematic_with_events").alias("problematic_with_events_rate"),
+        F.expr(share_of("problematic_with_events")).alias("problematic_with_events_rate"),
     )
     return _top(
         rates,

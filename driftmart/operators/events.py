@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmart.functions import mean_of, month_start
+from driftmart.functions.expressions import flag, mean_of, month_start, name, named
 from driftmart.spec import BAD_STATUSES, STATION_MODE, MonitoringSpec
 
 
@@ -13,14 +13,16 @@ def event_monthly(
     events: DataFrame, spec: MonitoringSpec = STATION_MODE, with_duration: bool = True
 ) -> DataFrame:
     """Events, critical events and mean duration per month and entity."""
-    is_critical = F.when(F.col(spec.severity) == spec.critical_severity, 1).otherwise(0)
+    is_critical = flag(f"{name(spec.severity)} = '{spec.critical_severity}'")
     aggregates = [
-        F.count(F.lit(1)).alias("event_count"),
-        F.sum(is_critical).alias("critical_event_count"),
+        named("count(1)", "event_count"),
+        named(f"sum({is_critical})", "critical_event_count"),
     ]
     if with_duration:
-        aggregates.append(mean_of(spec.duration).alias("avg_event_duration"))
-    return events.groupBy(month_start(spec.event_date).alias(spec.period), spec.entity).agg(*aggregates)
+        aggregates.append(named(mean_of(spec.duration), "avg_event_duration"))
+    return events.groupBy(
+        F.expr(month_start(spec.event_date)).alias(spec.period), spec.entity
+    ).agg(*map(F.expr, aggregates))
 
 
 def enrich_with_events(
@@ -31,7 +33,7 @@ def enrich_with_events(
 ) -> DataFrame:
     """Left join on (entity, period): event metrics repeat on every mode row.
 
-    Both sides are unique or nearly so on the key, so the join cannot blow up.
+    The event side is unique on the key, so the join cannot multiply rows.
     No broadcast hint: adaptive execution measures the event side and broadcasts
     it only below the configured threshold. ``indicator`` names an optional
     column telling ``both`` from ``left_only`` rows.
@@ -41,39 +43,34 @@ def enrich_with_events(
     right = monthly_events
     if indicator:
         right = right.withColumn(indicator, F.lit("both"))
-        carried = [*carried, indicator]
-    defaults = {
-        "event_count": F.lit(0).cast("long"),
-        "critical_event_count": F.lit(0).cast("long"),
-        indicator: F.lit("left_only"),
-    }
+        carried.append(indicator)
+    missing = {"event_count": "0L", "critical_event_count": "0L", indicator: "'left_only'"}
     joined = mart.join(right, keys, "left")
-    return joined.select(
-        *mart.columns,
+    return joined.selectExpr(
+        *map(name, mart.columns),
         *[
-            F.coalesce(F.col(c), defaults[c]).alias(c) if c in defaults else F.col(c)
+            named(f"coalesce({name(c)}, {missing[c]})", c) if c in missing else name(c)
             for c in carried
         ],
     )
 
 
 def has_event_flags(enriched: DataFrame) -> DataFrame:
-    return enriched.withColumns(
-        {
-            "has_events": (F.col("event_count") > 0).cast("int"),
-            "has_critical_events": (F.col("critical_event_count") > 0).cast("int"),
-        }
+    return enriched.selectExpr(
+        "*",
+        named(flag("event_count > 0"), "has_events"),
+        named(flag("critical_event_count > 0"), "has_critical_events"),
     )
 
 
 def event_flags(enriched: DataFrame) -> DataFrame:
     """Event presence, and its coincidence with signals and with a bad status."""
-    with_event = F.col("event_count") > 0
-    return has_event_flags(enriched).withColumns(
-        {
-            "problematic_with_events": ((F.col("signal_count") > 0) & with_event).cast("int"),
-            "anomaly_or_critical_with_events": (
-                F.col("monitoring_status").isin(*BAD_STATUSES) & with_event
-            ).cast("int"),
-        }
+    bad = ", ".join(f"'{status}'" for status in BAD_STATUSES)
+    return has_event_flags(enriched).selectExpr(
+        "*",
+        named(flag("signal_count > 0 AND event_count > 0"), "problematic_with_events"),
+        named(
+            flag(f"monitoring_status IN ({bad}) AND event_count > 0"),
+            "anomaly_or_critical_with_events",
+        ),
     )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from driftmart.functions import zero_safe_ratio
+from driftmart.functions.expressions import difference, name, named, relative_difference
 from driftmart.spec import STATION_MODE, MonitoringSpec
 
 
@@ -17,15 +16,21 @@ def window_features(monthly: DataFrame, spec: MonitoringSpec = STATION_MODE) ->
     order, so Spark plans one sort and one Window operator. A window partition
     holds at most one row per month.
     """
-    series = Window.partitionBy(*spec.series_keys).orderBy(spec.period)
-    rolling = series.rowsBetween(1 - spec.window, Window.currentRow)
-    baseline = series.rowsBetween(-spec.window, -1)
-    avg = spec.avg
-    return monthly.select(
+    keys = ", ".join(map(name, spec.series_keys))
+    series = f"PARTITION BY {keys} ORDER BY {name(spec.period)}"
+    n = spec.window
+    blocks = (
+        ("lag", series, spec.prev),
+        ("avg", f"{series} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW", spec.rolling),
+        ("avg", f"{series} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING", spec.baseline),
+    )
+    return monthly.selectExpr(
         "*",
-        *[F.lag(avg(m)).over(series).alias(spec.prev(m)) for m in spec.feature_order],
-        *[F.avg(avg(m)).over(rolling).alias(spec.rolling(m)) for m in spec.feature_order],
-        *[F.avg(avg(m)).over(baseline).alias(spec.baseline(m)) for m in spec.feature_order],
+        *[
+            named(f"{function}({name(spec.avg(m))}) OVER ({frame})", column(m))
+            for function, frame, column in blocks
+            for m in spec.feature_order
+        ],
     )
 
 
@@ -35,15 +40,12 @@ def change_features(features: DataFrame, spec: MonitoringSpec = STATION_MODE) ->
     Every metric is compared with its previous value, the flagged metrics also
     with the rolling mean and the baseline.
     """
-    references = {"rolling": spec.rolling, "baseline": spec.baseline}
-    columns = {}
+    formulas = {}
     for m in spec.metric_names:
-        delta = F.col(spec.avg(m)) - F.col(spec.prev(m))
-        columns[f"{m}_abs_change"] = delta
-        columns[f"{m}_pct_change"] = zero_safe_ratio(delta, F.col(spec.prev(m)))
-    for ref, name in references.items():
-        for m in spec.flagged:
-            delta = F.col(spec.avg(m)) - F.col(name(m))
-            columns[f"{m}_vs_{ref}_diff"] = delta
-            columns[f"{m}_vs_{ref}_pct"] = zero_safe_ratio(delta, F.col(name(m)))
-    return features.select("*", *[columns[c].alias(c) for c in spec.change_columns])
+        formulas[f"{m}_abs_change"] = difference(spec.avg(m), spec.prev(m))
+        formulas[f"{m}_pct_change"] = relative_difference(spec.avg(m), spec.prev(m))
+    for m in spec.flagged:
+        for reference, base in (("rolling", spec.rolling(m)), ("baseline", spec.baseline(m))):
+            formulas[f"{m}_vs_{reference}_diff"] = difference(spec.avg(m), base)
+            formulas[f"{m}_vs_{reference}_pct"] = relative_difference(spec.avg(m), base)
+    return features.selectExpr("*", *[named(formulas[c], c) for c in spec.change_columns])

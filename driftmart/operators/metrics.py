@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmart.functions import mean_of, month_start
+from driftmart.functions.expressions import mean_of, month_start
 from driftmart.spec import STATION_MODE, MonitoringSpec
 
 
@@ -16,8 +16,8 @@ def monthly_metrics(readings: DataFrame, spec: MonitoringSpec = STATION_MODE) ->
     readings sends no more rows per map task than it has (month, mode) cells.
     """
     return readings.groupBy(
-        month_start(spec.reading_date).alias(spec.period), *spec.series_keys
+        F.expr(month_start(spec.reading_date)).alias(spec.period), *spec.series_keys
     ).agg(
-        *[mean_of(m).alias(spec.avg(m.name)) for m in spec.metrics],
+        *[F.expr(mean_of(m)).alias(spec.avg(m.name)) for m in spec.metrics],
         F.count(F.lit(1)).alias("obs_count"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmart.functions import all_of, same_value
+from driftmart.functions.expressions import name, named, same_value
 from driftmart.operators.analysis import value_counts
 
 # Names of the comparison frame.
@@ -36,47 +36,48 @@ def merged(
     columns = shared_columns(left, right, keys) if columns is None else list(columns)
 
     def side(df: DataFrame, suffix: str) -> DataFrame:
-        return df.select(
-            *[F.col(k).alias(f"{k}{suffix}") for k in keys],
-            *[F.col(c).alias(f"{c}{suffix}") for c in columns],
-            F.lit(True).alias(f"present{suffix}"),
+        return df.selectExpr(
+            *[named(name(c), c + suffix) for c in (*keys, *columns)],
+            named("true", f"present{suffix}"),
         )
 
-    condition = all_of(
-        F.col(f"{k}{LEFT_SUFFIX}").eqNullSafe(F.col(f"{k}{RIGHT_SUFFIX}")) for k in keys
+    same_key = " AND ".join(f"{name(k + LEFT_SUFFIX)} <=> {name(k + RIGHT_SUFFIX)}" for k in keys)
+    joined = side(left, LEFT_SUFFIX).join(side(right, RIGHT_SUFFIX), F.expr(same_key), how)
+    origin = (
+        f"CASE WHEN present{RIGHT_SUFFIX} IS NULL THEN '{LEFT_ONLY}'"
+        f" WHEN present{LEFT_SUFFIX} IS NULL THEN '{RIGHT_ONLY}' ELSE '{BOTH}' END"
     )
-    joined = side(left, LEFT_SUFFIX).join(side(right, RIGHT_SUFFIX), condition, how)
-    in_left = F.col(f"present{LEFT_SUFFIX}").isNotNull()
-    in_right = F.col(f"present{RIGHT_SUFFIX}").isNotNull()
-    return joined.select(
-        *[F.coalesce(f"{k}{LEFT_SUFFIX}", f"{k}{RIGHT_SUFFIX}").alias(k) for k in keys],
-        *[f"{c}{suffix}" for c in columns for suffix in (LEFT_SUFFIX, RIGHT_SUFFIX)],
-        F.when(in_left & in_right, BOTH).when(in_left, LEFT_ONLY).otherwise(RIGHT_ONLY).alias(ORIGIN),
+    return joined.selectExpr(
+        *[
+            named(f"coalesce({name(k + LEFT_SUFFIX)}, {name(k + RIGHT_SUFFIX)})", k)
+            for k in keys
+        ],
+        *[name(c + suffix) for c in columns for suffix in (LEFT_SUFFIX, RIGHT_SUFFIX)],
+        named(origin, ORIGIN),
     )
 
 
-def compared_columns(frame: DataFrame) -> list[str]:
-    names = set(frame.columns)
-    return [
+def column_checks(frame: DataFrame) -> dict[str, str]:
+    """Compared column -> expression that is true where both sides agree."""
+    types = {f.name: f.dataType for f in frame.schema}
+    compared = [
         c.removesuffix(LEFT_SUFFIX)
-        for c in frame.columns
-        if c.endswith(LEFT_SUFFIX) and c.removesuffix(LEFT_SUFFIX) + RIGHT_SUFFIX in names
+        for c in types
+        if c.endswith(LEFT_SUFFIX) and c.removesuffix(LEFT_SUFFIX) + RIGHT_SUFFIX in types
     ]
+    return {
+        c: same_value(c + LEFT_SUFFIX, c + RIGHT_SUFFIX, types[c + LEFT_SUFFIX]) for c in compared
+    }
 
 
 def checked(frame: DataFrame) -> DataFrame:
     """Rows found on both sides with one ``*_check`` per column and ``is_match``."""
-    columns = compared_columns(frame)
-    checks = {
-        f"{c}_check": same_value(
-            F.col(f"{c}{LEFT_SUFFIX}"),
-            F.col(f"{c}{RIGHT_SUFFIX}"),
-            frame.schema[f"{c}{LEFT_SUFFIX}"].dataType,
-        )
-        for c in columns
-    }
-    both = frame.where(F.col(ORIGIN) == BOTH).withColumns(checks)
-    return both.withColumn("is_match", all_of(F.col(c) for c in checks))
+    checks = column_checks(frame)
+    both = frame.where(F.col(ORIGIN) == BOTH)
+    with_checks = both.selectExpr("*", *[named(e, f"{c}_check") for c, e in checks.items()])
+    return with_checks.selectExpr(
+        "*", named(" AND ".join(name(f"{c}_check") for c in checks), "is_match")
+    )
 
 
 def mismatches(check_frame: DataFrame) -> DataFrame:
@@ -86,7 +87,9 @@ def mismatches(check_frame: DataFrame) -> DataFrame:
 def mismatches_by_column(check_frame: DataFrame) -> DataFrame:
     """Number of failed checks per column, worst first; one pass over the rows."""
     names = [c.removesuffix("_check") for c in check_frame.columns if c.endswith("_check")]
-    totals = check_frame.agg(*[F.count_if(~F.col(f"{c}_check")).alias(c) for c in names])
+    totals = check_frame.selectExpr(
+        *[named(f"count_if(NOT {name(c + '_check')})", c) for c in names]
+    )
     return totals.unpivot([], names, "column_name", "mismatch_count").orderBy(
         F.desc("mismatch_count"), F.asc("column_name")
     )
@@ -98,18 +101,10 @@ def origin_counts(frame: DataFrame) -> DataFrame:
 
 def summary(frame: DataFrame) -> DataFrame:
     """Matched, one-sided and mismatching rows of a full comparison, in one pass."""
-    both = F.col(ORIGIN) == BOTH
-    equal = all_of(
-        same_value(
-            F.col(f"{c}{LEFT_SUFFIX}"),
-            F.col(f"{c}{RIGHT_SUFFIX}"),
-            frame.schema[f"{c}{LEFT_SUFFIX}"].dataType,
-        )
-        for c in compared_columns(frame)
-    )
-    return frame.agg(
-        F.count_if(both).alias("rows_matched"),
-        F.count_if(F.col(ORIGIN) == LEFT_ONLY).alias("left_only_rows"),
-        F.count_if(F.col(ORIGIN) == RIGHT_ONLY).alias("right_only_rows"),
-        F.count_if(both & ~equal).alias("mismatch_rows"),
+    equal = " AND ".join(column_checks(frame).values())
+    return frame.selectExpr(
+        named(f"count_if({ORIGIN} = '{BOTH}')", "rows_matched"),
+        named(f"count_if({ORIGIN} = '{LEFT_ONLY}')", "left_only_rows"),
+        named(f"count_if({ORIGIN} = '{RIGHT_ONLY}')", "right_only_rows"),
+        named(f"count_if({ORIGIN} = '{BOTH}' AND NOT ({equal}))", "mismatch_rows"),
     )

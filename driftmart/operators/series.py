@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmart.functions.expressions import flag, name, named
 from driftmart.spec import STATION_MODE, MonitoringSpec
 
 MARKERS = {
@@ -34,11 +35,9 @@ def monitoring_series(
         rows = rows.where(F.col(spec.entity) == F.lit(entity))
     if mode is not None:
         rows = rows.where(F.col(spec.mode) == F.lit(mode))
-    return rows.select(
-        *spec.series_keys,
-        spec.period,
-        spec.avg(metric),
-        *([spec.rolling(metric)] if with_rolling else []),
-        *([spec.baseline(metric)] if with_baseline else []),
-        *[(F.col(MARKERS[name]) > 0).cast("int").alias(name) for name in markers],
+    return rows.selectExpr(
+        *map(name, (*spec.series_keys, spec.period, spec.avg(metric))),
+        *([name(spec.rolling(metric))] if with_rolling else []),
+        *([name(spec.baseline(metric))] if with_baseline else []),
+        *[named(flag(f"{MARKERS[marker]} > 0"), marker) for marker in markers],
     ).orderBy(*spec.series_keys, spec.period)

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from driftmart.functions import threshold_flag
+from driftmart.functions.expressions import flag, name, named, reaches
 from driftmart.spec import (
     METRIC_STATUS_BASELINE,
     METRIC_STATUS_DEFAULT,
@@ -28,43 +24,35 @@ def signal_flags(changes: DataFrame, spec: MonitoringSpec = STATION_MODE) -> Dat
         (spec.rolling_flag, "{}_vs_rolling_pct", spec.rolling_threshold),
         (spec.baseline_flag, "{}_vs_baseline_pct", spec.baseline_threshold),
     )
-    return changes.withColumns(
-        {
-            flag(m): threshold_flag(ratio.format(m), threshold)
-            for flag, ratio, threshold in rules
+    return changes.selectExpr(
+        "*",
+        *[
+            named(flag(reaches(ratio.format(m), threshold)), column(m))
+            for column, ratio, threshold in rules
             for m in spec.flagged
-        }
+        ],
     )
 
 
 def signal_count(flags: DataFrame, spec: MonitoringSpec = STATION_MODE) -> DataFrame:
-    return flags.withColumn("signal_count", reduce(add, map(F.col, spec.flag_columns)))
-
-
-def status_of(count: Column) -> Column:
-    """Status of a signal count."""
-    levels: dict[str, list[int]] = {}
-    for signals, status in STATUS_BY_SIGNALS.items():
-        levels.setdefault(status, []).append(signals)
-    first, *rest = levels.items()
-    chain = F.when(count.isin(first[1]), first[0])
-    for status, signals in rest:
-        chain = chain.when(count.isin(signals), status)
-    return chain.otherwise(STATUS_ABOVE)
+    return flags.selectExpr("*", named(" + ".join(map(name, spec.flag_columns)), "signal_count"))
 
 
 def monitoring_status(counted: DataFrame) -> DataFrame:
-    return counted.withColumn("monitoring_status", status_of(F.col("signal_count")))
+    levels = " ".join(f"WHEN {n} THEN '{status}'" for n, status in STATUS_BY_SIGNALS.items())
+    status = f"CASE signal_count {levels} ELSE '{STATUS_ABOVE}' END"
+    return counted.selectExpr("*", named(status, "monitoring_status"))
 
 
 def metric_status(flags: DataFrame, spec: MonitoringSpec = STATION_MODE) -> DataFrame:
     """Strongest finding per flagged metric: baseline, then rolling, then previous."""
-    return flags.withColumns(
-        {
-            spec.metric_status(m): F.when(F.col(spec.baseline_flag(m)) == 1, METRIC_STATUS_BASELINE)
-            .when(F.col(spec.rolling_flag(m)) == 1, METRIC_STATUS_ROLLING)
-            .when(F.col(spec.prev_flag(m)) == 1, METRIC_STATUS_PREV)
-            .otherwise(METRIC_STATUS_DEFAULT)
-            for m in spec.flagged
-        }
-    )
+
+    def status(m: str) -> str:
+        return (
+            f"CASE WHEN {name(spec.baseline_flag(m))} = 1 THEN '{METRIC_STATUS_BASELINE}'"
+            f" WHEN {name(spec.rolling_flag(m))} = 1 THEN '{METRIC_STATUS_ROLLING}'"
+            f" WHEN {name(spec.prev_flag(m))} = 1 THEN '{METRIC_STATUS_PREV}'"
+            f" ELSE '{METRIC_STATUS_DEFAULT}' END"
+        )
+
+    return flags.selectExpr("*", *[named(status(m), spec.metric_status(m)) for m in spec.flagged])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftmart.functions.columns import ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE
+from driftmart.functions.expressions import ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE
 from driftmart.ml.baseline import TARGET, TRAIN_SHARE
 from driftmart.plans import ansi
 from driftmart.plans.queries import OTHER_SLICE, SLICE, STATION

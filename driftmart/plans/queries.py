@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from driftmart.ml import baseline
 from driftmart.operators import analysis, events, features, metrics, quality, reconcile, series, signals
@@ -302,24 +301,15 @@ def altered_copy(result: DataFrame) -> DataFrame:
     differ within tolerance, pressures of mode R beyond it, the status of
     event rows is spelled differently, durations of critical rows are missing.
     """
-    mode, status = F.col(SPEC.mode), F.col("monitoring_status")
-    stable, has_events = status == "stable", F.col("has_events") == 1
-    rows = result.where(status != "warning")
-    return rows.select(
-        *[
-            {
-                SPEC.period: F.when(stable, F.add_months(SPEC.period, 1200)).otherwise(F.col(SPEC.period)),
-                "avg_flow": F.when(mode == "A", F.col("avg_flow") * 1.000001).otherwise(F.col("avg_flow")),
-                "avg_pressure": F.when(mode == "R", F.col("avg_pressure") * 1.001).otherwise(
-                    F.col("avg_pressure")
-                ),
-                "monitoring_status": F.when(has_events, F.upper(status)).otherwise(status),
-                "avg_event_duration": F.when(status != "critical", F.col("avg_event_duration")),
-            }
-            .get(c, F.col(c))
-            .alias(c)
-            for c in result.columns
-        ]
+    changes = {
+        SPEC.period: "CASE WHEN monitoring_status = 'stable' THEN add_months(month_start, 1200) ELSE month_start END",
+        "avg_flow": "CASE WHEN mode = 'A' THEN avg_flow * 1.000001D ELSE avg_flow END",
+        "avg_pressure": "CASE WHEN mode = 'R' THEN avg_pressure * 1.001D ELSE avg_pressure END",
+        "monitoring_status": "CASE WHEN has_events = 1 THEN upper(monitoring_status) ELSE monitoring_status END",
+        "avg_event_duration": "CASE WHEN monitoring_status <> 'critical' THEN avg_event_duration END",
+    }
+    return result.where("monitoring_status <> 'warning'").selectExpr(
+        *[f"{changes.get(c, c)} AS {c}" for c in result.columns]
     )
 
 

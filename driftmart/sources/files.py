@@ -7,14 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from driftmart.functions import nan_to_null
+from driftmart.functions.expressions import name, named, nan_to_null
 from driftmart.sources.schemas import TABLES
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every floating-point column."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: nan_to_null(c) for c in floats}) if floats else df
+    return df.selectExpr(
+        *[
+            named(nan_to_null(f.name), f.name)
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+            else name(f.name)
+            for f in df.schema
+        ]
+    )
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
