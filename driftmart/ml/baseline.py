@@ -103,8 +103,8 @@ def fit_baseline(
     """
     spark = ml_table.sparkSession
     path = shared_folder(spark, "ml-cases")
-    time_split(complete_cases(ml_table, target, spec), share, spec).write.parquet(path)
-    split_cases = spark.read.parquet(path)
+    complete_cases(ml_table, target, spec).write.parquet(path)
+    split_cases = time_split(spark.read.parquet(path), share, spec)
 
     train = split_cases.where("split = 'train'")
     size, positives = train.agg(F.count(F.lit(1)), F.sum(F.col(target))).first()

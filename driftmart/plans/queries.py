@@ -187,7 +187,7 @@ def event_enrichment(spark, folder):
     """Monthly metrics with event metrics and the origin of each row."""
     return events.enrich_with_events(
         _monthly(spark, folder),
-        events.event_monthly(star.events(spark, folder), SPEC),
+        mart.monthly_events(star.events(spark, folder), SPEC),
         SPEC,
         indicator="row_origin",
     )

@@ -16,6 +16,9 @@ PLANNING = {
     # Rows per entity are bounded by months x modes at that point, so the coarser
     # key cannot create a hot task.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # HotSpot does not compile methods above 8000 bytes of bytecode. The widest column
+    # blocks exceed that when fused into one method and would run interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # For sessions built here. Shuffle partitions start high and adaptive execution
@@ -55,10 +58,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     Executors can be lost, so intermediate tables go to storage all nodes share.
     Only a local session without that setting gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="driftmart-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/driftmart-{purpose}-{uuid.uuid4().hex}"
