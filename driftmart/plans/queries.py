@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftmart.ml import baseline
 from driftmart.operators import analysis, events, features, metrics, quality, reconcile, series, signals
-from driftmart.plans import ansi, mart
+from driftmart.plans import mart, pipeline
 from driftmart.session import shared_folder, tune
 from driftmart.sources import files, star
 from driftmart.sources.star import SPEC, STATION_SPEC
@@ -321,12 +321,9 @@ def _comparison(spark, folder, how="full"):
 @query
 def reconcile_implementations(spark, folder):
     """The mart from DataFrame operators against the mart from SQL text."""
-    by_sql = spark.sql(
-        ansi.monitoring_mart_sql("{readings}", "{log}", SPEC),
-        readings=star.measurements(spark, folder),
-        log=star.events(spark, folder),
-    )
-    return reconcile.summary(reconcile.merged(_mart(spark, folder), by_sql, SPEC.grain))
+    t = star.tables(spark, folder)
+    tables = {"measurements": t.measurements, "events": t.events}
+    return pipeline.verify(spark, _mart(spark, folder), tables, SPEC)
 
 
 @query
