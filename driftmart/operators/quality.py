@@ -63,5 +63,13 @@ def grain_duplicates(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     return rows.join(keys, same_key, "left_semi")
 
 
+def require_unique(df: DataFrame, grain: Sequence[str]) -> None:
+    """Fail if a grain value occurs more than once; runs a job that reads the grain columns."""
+    repeated = df.groupBy(*grain).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    example = repeated.first()
+    if example is not None:
+        raise ValueError(f"{tuple(grain)} is not unique, e.g. {tuple(example)[:-1]}: {example.n} rows")
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)

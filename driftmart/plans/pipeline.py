@@ -72,7 +72,11 @@ def verify(
     tables: Mapping[str, DataFrame],
     spec: MonitoringSpec = STATION_MODE,
 ) -> DataFrame:
-    """Reconcile a saved mart with the SQL formulation; all columns, one summary row."""
+    """Reconcile a saved mart with the SQL formulation; all columns, one summary row.
+
+    A repeated grain would pair every copy with every copy, so it is an error.
+    """
+    quality.require_unique(monitoring, spec.grain)
     return reconcile.summary(
         reconcile.merged(monitoring, mart_by_sql(spark, tables, spec), spec.grain)
     )

@@ -118,7 +118,9 @@ def grain_duplicates(spark, folder):
 
 @query
 def distinct_months(spark, folder):
-    return quality.distinct_values(_monthly(spark, folder), SPEC.period)
+    return quality.distinct_values(
+        metrics.monthly_metrics(star.measurements(spark, folder), SPEC), SPEC.period
+    )
 
 
 # ---- the mart, layer by layer -----------------------------------------------
@@ -323,7 +325,8 @@ def reconcile_implementations(spark, folder):
     """The mart from DataFrame operators against the mart from SQL text."""
     t = star.tables(spark, folder)
     tables = {"measurements": t.measurements, "events": t.events}
-    return pipeline.verify(spark, _mart(spark, folder), tables, SPEC)
+    by_sql = pipeline.mart_by_sql(spark, tables, SPEC)
+    return reconcile.summary(reconcile.merged(_mart(spark, folder), by_sql, SPEC.grain))
 
 
 @query

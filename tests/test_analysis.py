@@ -92,6 +92,12 @@ def test_duplicates(spark):
     assert quality.grain_duplicates(df.distinct(), ["k", "m"]).count() == 0
 
 
+def test_unique_grain_is_required(spark, mart):
+    quality.require_unique(mart, STATION_MODE.grain)
+    with pytest.raises(ValueError, match="not unique"):
+        quality.require_unique(mart.unionByName(mart.where("station_id = 1")), STATION_MODE.grain)
+
+
 def test_counts_profile_head(spark, mart):
     counts = quality.row_counts({"mart": mart, "half": mart.where("station_id = 1")})
     assert {tuple(r) for r in counts.collect()} == {("mart", 24), ("half", 12)}
