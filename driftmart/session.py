@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -56,13 +57,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
     Executors can be lost, so intermediate tables go to storage all nodes share.
-    Only a local session without that setting gets a temporary folder.
+    A session whose only executor is the driver itself (``local[..]``, as in tests) may
+    go without that setting; any other master has to name the folder. The session's
+    own checkpoint folder is left as it is.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="driftmart-")
-        context.setCheckpointDir(root)
+        root = f"file://{tempfile.gettempdir()}/driftmart-{context.applicationId}"
     return f"{root.rstrip('/')}/driftmart-{purpose}-{uuid.uuid4().hex}"
