@@ -54,8 +54,9 @@ def _matches(text: Column, family: str) -> Column:
         F.split(text, PATTERNS[family], -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
     )
+    # The text after the last match is a gap without a match.
     found = F.transform(
-        pairs,
+        F.filter(pairs, lambda x: x["hit"].isNotNull()),
         lambda x: F.struct(
             F.lit(family).alias("family"),
             F.length(x["gap"]).alias("gap"),
