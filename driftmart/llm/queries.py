@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmart.llm import mixing, secret_links
+from driftmart.llm import language, mixing, near_dups, pieces, secret_links
 from driftmart.llm.common import table
 
 
@@ -15,13 +15,29 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"))
+
+
 def op5_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return secret_links.scan(table(spark, folder, "documents"))
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return language.identify(documents, language.fit(documents))
+
+
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_secret_links": op5_secret_links,
+    "op7_language": op7_language,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
