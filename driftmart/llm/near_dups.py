@@ -247,8 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     banded = classes.select(F.col("first.doc_id").alias("node"), F.explode("first.bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
+    # Merge joins where a side grows with the corpus, so that the plan is one at every size.
     candidates = (
-        banded.join(pivots, "band")
+        banded.join(pivots.hint("merge"), "band")
         .where("node <> pivot")
         .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         .distinct()
@@ -262,9 +263,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"),
         F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK).cast("long")).alias("block"),
     )
-    texts = rows.join(placed.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    texts = rows.join(placed.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = texts.mapInArrow(_rows_with_sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "node")
-    members = saved(placed.join(sets, "node"), "shingles")
+    members = saved(placed.hint("merge").join(sets, "node"), "shingles")
     by_id = Window.partitionBy("grp").orderBy("node")
     anchors = (
         members.where("blocks > 1").select("node", "grp").withColumn("place", F.row_number().over(by_id))
