@@ -5,8 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from driftmart.llm import language, mixing, near_dups, pieces, secret_links
+from pyspark.sql import functions as F
+
+from driftmart.llm import (
+    inner_product,
+    language,
+    mixing,
+    near_dups,
+    neighbours,
+    pieces,
+    secret_links,
+)
 from driftmart.llm.common import table
 
 
@@ -19,6 +28,10 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return secret_links.scan(table(spark, folder, "documents"))
 
@@ -32,15 +45,22 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    return inner_product.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_neighbours": op3_neighbours,
     "op5_secret_links": op5_secret_links,
     "op7_language": op7_language,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_inner_products": op10_inner_products,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op5_secret_links": secret_links.ORACLE,
+    "op10_inner_products": inner_product.ORACLE,
 }
