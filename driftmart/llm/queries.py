@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from driftmart.llm import (
     inner_product,
     language,
+    licenses,
     mixing,
     near_dups,
     neighbours,
     pieces,
+    pii,
     secret_links,
 )
 from driftmart.llm.common import table
@@ -32,10 +34,18 @@ def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(table(spark, folder, "documents"))
+
+
 def op5_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return secret_links.scan(table(spark, folder, "documents"))
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return language.identify(documents, language.fit(documents))
@@ -53,7 +63,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_neighbours": op3_neighbours,
+    "op4_personal_data": op4_personal_data,
     "op5_secret_links": op5_secret_links,
+    "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_inner_products": op10_inner_products,
