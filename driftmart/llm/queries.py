@@ -16,6 +16,7 @@ from driftmart.llm import (
     neighbours,
     pieces,
     pii,
+    repeats,
     secret_links,
 )
 from driftmart.llm.common import table
@@ -51,6 +52,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents, language.fit(documents))
 
 
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"))
 
@@ -67,6 +72,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_links": op5_secret_links,
     "op6_licenses": op6_licenses,
     "op7_language": op7_language,
+    "op8_repeats": op8_repeats,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_inner_products": op10_inner_products,
 }
