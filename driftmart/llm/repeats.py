@@ -11,7 +11,9 @@ with a smaller ``doc_id``. Strings are judged on the input and never cross docum
    dealt, so a passage in a third of all documents arrives once per step.
 2. Screen. In a bucket, a fragment stays only if its minimizer together with the bytes on
    one side, half a window's worth, also occurs in another document: any equal window
-   contains one of the two.
+   contains one of the two. Of equal fragments all but the first document's are removed
+   whole; of the first ones, a second screen with longer strings keeps those that may share
+   a window with a different fragment.
 3. Index. The bucket's distinct fragments are joined to a text in order of their first
    document; its Burrows-Wheeler transform is kept as runs, which repetitive text makes
    long, each with its place in the LF-mapping and, sampled at the run, the first document
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmart.llm.common import mix64, random_words, ranges, steps, string_bytes
@@ -48,23 +50,49 @@ from driftmart.llm.common import mix64, random_words, ranges, steps, string_byte
 LENGTH = 50
 GRAM = 12
 SPAN = LENGTH - GRAM + 1  # grams in a window, and windows in a fragment at most
-SIDE = (LENGTH - GRAM) // 2
+# Bytes before and after the minimizer: a window holds at least one pair of each list.
+ROUGH = ((19, 0), (0, 19))
+FINE = ((0, 29), (10, 19), (20, 10), (29, 0))
 BUCKET_BYTES = 1_800_000
 DEAL_BYTES = 8 << 20
 PACKING = 6
 
 _VALUE = random_words(256, 31)
-_POWER = random_words(64, 32)
+_POWER = random_words(8, 32)
+_BASE = random_words(1, 33)[0]
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def string_hashes(raw: np.ndarray, at: np.ndarray | None, length: int) -> np.ndarray:
-    """Hashes of the strings of this length at the given places, or at all."""
-    count = len(raw) - length + 1 if at is None else len(at)
-    total = np.zeros(max(count, 0), np.uint64)
-    for k in range(length if count > 0 else 0):
-        piece = raw[k : k + count] if at is None else raw[at + k]
-        total += _VALUE[piece] * _POWER[k]
-    return mix64(total)
+class Substrings:
+    """Hashes of any substrings of a byte array, from sums over its prefixes."""
+
+    def __init__(self, raw: np.ndarray):
+        self.back = _powers(_INVERSE, len(raw) + 1)
+        self.upto = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUE[raw] * _powers(_BASE, len(raw)), out=self.upto[1:])
+
+    def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        total = (self.upto[start + length] - self.upto[start]) * self.back[start]
+        return mix64(total + np.asarray(length, np.uint64) * _POWER[4])
+
+
+def _powers(base: np.uint64, count: int) -> np.ndarray:
+    out = np.ones(max(count, 1), np.uint64)
+    filled = 1
+    while filled < count:
+        more = min(filled, count - filled)
+        out[filled : filled + more] = out[:more] * (out[filled - 1 : filled] * base)
+        filled += more
+    return out[:count]
+
+
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of all ``GRAM``-byte strings, put together from those of 4 and 8 bytes."""
+    one = _VALUE[raw]
+    two = one[:-1] * _POWER[0] + one[1:]
+    four = two[:-2] * _POWER[1] + two[2:]
+    eight = four[:-4] * _POWER[2] + four[4:]
+    return mix64(eight[:-4] * _POWER[3] + four[8:])
 
 
 def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +111,7 @@ def fragments(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     if not size.sum():
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
-    hashes = string_hashes(raw, None, GRAM)
+    hashes = gram_hashes(raw)
     window = ranges(bounds[:-1], size)  # windows that lie in one row
     row = np.repeat(np.arange(len(size)), size)
     least = window_minima(hashes, SPAN)[window]
@@ -103,20 +131,6 @@ def fragments(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], start, windows, place, value
 
 
-def equal_strings(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash per string, for strings of different lengths."""
-    order = np.argsort(-length, kind="stable")
-    at, left = start[order], length[order]
-    total = left.astype(np.uint64) * _POWER[0]
-    for k in range(int(left[0]) if len(left) else 0):
-        live = int(np.searchsorted(-left, -k, side="left"))
-        total[:live] = (total[:live] ^ _VALUE[raw[at[:live] + k]]) * _POWER[1]
-        total[:live] ^= total[:live] >> np.uint64(29)
-    out = np.empty_like(total)
-    out[order] = mix64(total)
-    return out
-
-
 def _deal(buckets: int, raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed fragments) of one step's rows."""
     base = starts[0]
@@ -134,7 +148,7 @@ def _deal(buckets: int, raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, ke
         return
     row, at, windows, place, value = (np.concatenate(x) for x in (rows, at, windows, places, values))
     text = raw[base : starts[-1]]
-    same = equal_strings(text, at, windows + LENGTH - 1) ^ value
+    same = Substrings(text)(at, windows + LENGTH - 1) ^ value
     doc = ids[row]
     order = np.lexsort((doc, same))
     first = np.ones(len(order), bool)
@@ -155,7 +169,7 @@ def _deal(buckets: int, raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, ke
         payload = (
             ids[used],
             keys[used],
-            local[kept].astype(np.uint32),
+            np.diff(local[kept], prepend=0).astype(np.uint32),
             place_in_row[kept].astype(np.uint32),
             windows[part].astype(np.uint8),
             place[part].astype(np.uint8),
@@ -245,8 +259,9 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     docs = 0
     for payload in payloads:
         part = [np.frombuffer(x, t) for x, t in zip(pickle.loads(unpack.decompress(payload)), _TYPES)]
+        part[2] = np.cumsum(part[2], dtype=np.uint32)
         for k, x in enumerate(part):
-            columns[k].append(x + docs if k in (2, 7) else x)
+            columns[k].append(x + np.uint32(docs) if k in (2, 7) else x)
         docs += len(part[0])
     ids, keys, local, at, windows, place, content, lost, lost_at, lost_windows = (np.concatenate(x) for x in columns)
     local, at, windows, place = (x.astype(np.int64) for x in (local, at, windows, place))
@@ -254,46 +269,59 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     length = windows + LENGTH - 1
     begin = np.cumsum(length) - length
     doc = ids[local]
-    keep = _screen(content, begin, length, place, doc)
-    local, at, windows, length, begin, doc = (x[keep] for x in (local, at, windows, length, begin, doc))
+    substrings = Substrings(content)
+    keep = _screen(substrings, begin, length, place, doc, ROUGH)
+    local, at, windows, length, begin, place, doc = (
+        x[keep] for x in (local, at, windows, length, begin, place, doc)
+    )
     if len(local):
-        same = equal_strings(content, begin, length)
+        same = substrings(begin, length)
         order = np.lexsort((doc, same))
         new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
         heads = order[new]  # the first document's fragment of each class
         member = np.empty(len(order), np.int64)
         member[order] = np.cumsum(new) - 1
-        by_owner = np.lexsort((heads, doc[heads]))
-        number = np.empty(len(heads), np.int64)
-        number[by_owner] = np.arange(len(heads))
-        heads, member = heads[by_owner], number[member]
         copies = doc > doc[heads][member]
         out.append((local[copies], at[copies], length[copies]))
-        hit = repeated_windows(content[ranges(begin[heads], length[heads])], length[heads], doc[heads])
-        own = np.flatnonzero(~copies)
-        row, column = np.nonzero(hit[member[own]])
-        if len(row):
-            begins = np.concatenate([[True], (row[1:] != row[:-1]) | (column[1:] != column[:-1] + 1)])
+        # Only heads that may share a window with another document's head need the index.
+        fine = _screen(substrings, begin[heads], length[heads], place[heads], doc[heads], FINE)
+        indexed = np.flatnonzero(fine)
+        indexed = indexed[np.lexsort((heads[indexed], doc[heads[indexed]]))]
+        number = np.full(len(heads), -1)
+        number[indexed] = np.arange(len(indexed))
+        own = np.flatnonzero(~copies & fine[member])
+        if len(own):
+            h = heads[indexed]
+            hit = repeated_windows(content[ranges(begin[h], length[h])], length[h], doc[h])
+            row, column = np.nonzero(hit[number[member[own]]])
+            begins = np.ones(len(row), bool)
+            begins[1:] = (row[1:] != row[:-1]) | (column[1:] != column[:-1] + 1)
             first = np.flatnonzero(begins)
-            last = np.append(first[1:], len(row)) - 1
+            last = np.append(first[1:], len(row))[: len(first)] - 1
             which = own[row[first]]
             out.append((local[which], at[which] + column[first], column[last] - column[first] + LENGTH))
     which, start, size = (np.concatenate([x[k] for x in out]) for k in range(3))
     return ids[which], keys[which], start, size
 
 
-def _screen(content: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Fragments that share their minimizer and half a window beside it with another document."""
+def _screen(
+    substrings: Substrings,
+    begin: np.ndarray,
+    length: np.ndarray,
+    place: np.ndarray,
+    doc: np.ndarray,
+    sides: tuple[tuple[int, int], ...],
+) -> np.ndarray:
+    """Fragments whose minimizer, with bytes on one of these sides, is in another document, too."""
     keep = np.zeros(len(begin), bool)
-    for shift in (0, -SIDE):
-        at = begin + place + shift
-        fits = (at >= begin) & (at + GRAM + SIDE <= begin + length)
-        index = np.flatnonzero(fits)
-        value = string_hashes(content, at[index], GRAM + SIDE)
-        order = np.lexsort((doc[index], value))
-        index, value = index[order], value[order]
+    for left, right in sides:
+        at, size = begin + place - left, left + GRAM + right
+        index = np.flatnonzero((at >= begin) & (at + size <= begin + length))
         if not len(index):
             continue
+        value = substrings(at[index], size)
+        order = np.lexsort((doc[index], value))
+        index, value = index[order], value[order]
         new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         last = np.append(new[1:], len(value)) - 1
         shared = doc[index[new]] != doc[index[last]]
@@ -301,7 +329,13 @@ def _screen(content: np.ndarray, begin: np.ndarray, length: np.ndarray, place: n
     return keep
 
 
-def removed_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def text_key(docs: DataFrame) -> Column:
+    """What tells rows of one ``doc_id`` apart: nothing where ids are unique, else their texts."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
+
+
+def removed_spans(docs: DataFrame, key: Column, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, text_key, start, length of removed bytes; spans of a row may overlap."""
     rows = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")
@@ -329,7 +363,7 @@ def removed_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFram
             names=["doc_id", "text_key", "start", "length"],
         )
 
-    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    keyed = rows.withColumn("text_key", key)
     return (
         keyed.mapInArrow(deal, "bucket long, payload binary")
         .groupBy("bucket")
@@ -375,12 +409,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    spans = removed_spans(docs, bucket_bytes)
+    key = text_key(docs)
+    spans = removed_spans(docs, key, bucket_bytes)
     cuts = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(
         F.collect_list(F.struct("start", "length")).alias("spans")
     )
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key")
+        F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), key.alias("text_key")
     )
     # Texts move packed, half as many bytes; a merge join at every size.
     packed = rows.mapInArrow(_pack, "doc_id long, text_key long, packed binary")
