@@ -67,9 +67,13 @@ class Substrings:
     """Hashes of any substrings of a byte array, from sums over its prefixes."""
 
     def __init__(self, raw: np.ndarray):
-        self.back = _powers(_INVERSE, len(raw) + 1)
+        # In place, as these arrays are eight times as long as the text.
         self.upto = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUE[raw] * _powers(_BASE, len(raw)), out=self.upto[1:])
+        sums = self.upto[1:]
+        np.take(_VALUE, raw, out=sums)
+        sums *= _powers(_BASE, len(raw))
+        np.cumsum(sums, out=sums)
+        self.back = _powers(_INVERSE, len(raw) + 1)
 
     def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         total = (self.upto[start + length] - self.upto[start]) * self.back[start]
@@ -134,7 +138,7 @@ def fragments(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
 def _deal(buckets: int, raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed fragments) of one step's rows."""
     base = starts[0]
-    rows, at, windows, places, values = [], [], [], [], []
+    rows, at, windows, places, values, contents = [], [], [], [], [], []
     for a, b in steps(starts):
         low = starts[a] - base
         text = raw[starts[a] : starts[b]]
@@ -144,11 +148,13 @@ def _deal(buckets: int, raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, ke
         windows.append(count)
         places.append(place)
         values.append(value)
+        contents.append(Substrings(text)(start, count + LENGTH - 1) ^ value)
     if not rows:
         return
-    row, at, windows, place, value = (np.concatenate(x) for x in (rows, at, windows, places, values))
+    row, at, windows, place, value, same = (
+        np.concatenate(x) for x in (rows, at, windows, places, values, contents)
+    )
     text = raw[base : starts[-1]]
-    same = Substrings(text)(at, windows + LENGTH - 1) ^ value
     doc = ids[row]
     order = np.lexsort((doc, same))
     first = np.ones(len(order), bool)
