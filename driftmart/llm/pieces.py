@@ -105,6 +105,12 @@ class PieceModel:
                 self.output.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids), default=1)
         self.characters = {p for p in self.ids if len(p) == 1}
+        # Sizes of the pieces that end on three given characters, the longest first.
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.sizes = {end: (*sorted(sizes, reverse=True), 2, 1) for end, sizes in ends.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece continues over a space")
         newline = "" if any("\n" in p for p in self.ids) else "\n"
@@ -113,10 +119,11 @@ class PieceModel:
 
     def _forget(self) -> None:
         self.solved: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}
         self.follows: dict[tuple[str, str], bool] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("solved", "follows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("solved", "earlier", "follows")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -141,7 +148,8 @@ class PieceModel:
         if verdict is None:
             if len(self.follows) >= PAIR_CACHE:
                 self.follows.clear()
-            verdict = self.follows[key] = self.merged(left + right) == [left, right]
+            expected = [left, right] if left else [right]
+            verdict = self.follows[key] = self.merged(left + right) == expected
         return verdict
 
     def _fallback(self, character: str) -> list[int]:
@@ -151,41 +159,47 @@ class PieceModel:
 
     def _path(self, text: str) -> list[int]:
         """Shortest path through the lattice of a text all of whose characters are pieces."""
-        size, merges = len(text), self.kind == MERGES
-        cost = [0.0] + [float("inf")] * size
-        last: list[str] = [""] * (size + 1)
-        for end in range(1, size + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = text[start:end]
-                if piece not in self.weight or cost[start] == float("inf"):
-                    continue
-                if merges:
-                    if start and not self.may_follow(last[start], piece):
-                        continue
-                    if not start and len(piece) > 1 and not self.may_stand(piece):
-                        continue
-                    total = 0.0
-                else:
-                    total = cost[start] + self.weight[piece]
-                if total < cost[end]:
-                    cost[end], last[end] = total, piece
-                if merges:
-                    break
-        found, end = [], size
+        last = self._merge_path(text) if self.kind == MERGES else self._cheapest_path(text)
+        found, end = [], len(text)
         while end:
             found.append(self.ids[last[end]])
             end -= len(last[end])
         return found[::-1]
 
-    def may_stand(self, piece: str) -> bool:
-        return self.may_follow("", piece) if ("", piece) in self.follows else self._alone(piece)
+    def _merge_path(self, text: str) -> list[str]:
+        """The last piece of the path to every place: the only one that may follow its start's."""
+        last = [""] * (len(text) + 1)
+        follows, ids, sizes = self.follows, self.ids, self.sizes
+        for end in range(1, len(text) + 1):
+            for size in sizes.get(text[end - 3 : end] if end > 2 else "", (2, 1)):
+                start = end - size
+                if start < 0:
+                    continue
+                piece = text[start:end]
+                if piece not in ids:
+                    continue
+                left = last[start]
+                verdict = follows.get((left, piece))
+                if verdict is None:
+                    verdict = self.may_follow(left, piece)
+                if verdict:
+                    last[end] = piece
+                    break
+        return last
 
-    def _alone(self, piece: str) -> bool:
-        verdict = self.follows["", piece] = self.merged(piece) == [piece]
-        return verdict
+    def _cheapest_path(self, text: str) -> list[str]:
+        size = len(text)
+        cost = [0.0] + [float("inf")] * size
+        last = [""] * (size + 1)
+        for end in range(1, size + 1):
+            for start in range(max(0, end - self.longest), end):
+                weight = self.weight.get(text[start:end])
+                if weight is not None and cost[start] + weight < cost[end]:
+                    cost[end], last[end] = cost[start] + weight, text[start:end]
+        return last
 
     def stretch_ids(self, text: str) -> tuple[int, ...]:
-        known = self.solved.get(text)
+        known = self.earlier.get(text)
         if known is None:
             ids: list[int] = []
             if self.characters.issuperset(text):
@@ -198,10 +212,12 @@ class PieceModel:
                         run = i + 1
                 ids += self._path(text[run:])
             known = tuple(ids)
-            if len(text) <= 64:
-                if len(self.solved) >= CACHE:
-                    self.solved.clear()
-                self.solved[text] = known
+        if len(text) <= 64:
+            # Two generations: what was used since the last change of cache stays.
+            if len(self.solved) >= CACHE:
+                self.earlier = dict(self.solved)
+                self.solved.clear()
+            self.solved[text] = known
         return known
 
     def encode(self, text: str) -> array:

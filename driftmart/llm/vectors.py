@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 256
 
 
 def valid(vectors: DataFrame, nonzero: bool) -> DataFrame:
