@@ -6,7 +6,7 @@ under TARGET and prints the reports and the reconciliation.
 
 import argparse
 
-from driftmart.operators.quality import row_counts
+from driftmart.operators.quality import load_check, row_counts
 from driftmart.plans import pipeline
 from driftmart.session import build_session
 from driftmart.sources.files import load_tables
@@ -22,6 +22,7 @@ def main() -> None:
     spark = build_session()
     tables = load_tables(spark, args.source)
     row_counts(tables).show()
+    load_check(tables).show(100)
     saved = pipeline.build(tables, args.target, csv=args.csv)
     for name, report in pipeline.reports(saved[pipeline.MONITORING]).items():
         print(name)

@@ -39,17 +39,32 @@ def nan_to_null(column: str) -> str:
     return f"nanvl({name(column)}, NULL)"
 
 
-def mean_of(metric: Metric) -> str:
-    """Average of a metric; NULL readings are skipped.
+def text(value: str) -> str:
+    """A string literal; quotes and backslashes in the value are data."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def mean_of(metric: Metric, data_type: T.DataType | None = None) -> str:
+    """Average of a metric; NULL and NaN readings are skipped.
 
     With known decimals the sum runs over whole units (a long): exact, and cheaper
-    than a decimal sum because neither the cast nor the buffer leaves primitives.
+    than a decimal sum because neither the cast nor the buffer leaves primitives. A
+    reading that is no whole number of units fails the aggregate; none is rounded.
     """
-    value = name(metric.name)
+    floating = data_type is None or isinstance(data_type, (T.DoubleType, T.FloatType))
+    value = nan_to_null(metric.name) if floating else name(metric.name)
     if metric.decimals is None:
         return f"avg({value})"
     unit = number(float(10**metric.decimals))
-    units = f"sum(cast(rint({value} * {unit}) AS BIGINT))"
+    scaled = f"{value} * {unit}"
+    # Floating-point products of on-grid readings miss whole units by a few ulps only.
+    on_grid = f"abs({scaled} - rint({scaled})) <= 1e-9D * greatest(1D, abs({scaled}))"
+    complaint = text(f"{metric.name} has more than {metric.decimals} decimals")
+    units = (
+        f"sum(CASE WHEN {value} IS NULL THEN NULL WHEN {on_grid} THEN cast(rint({scaled}) AS BIGINT)"
+        f" ELSE cast(raise_error({complaint}) AS BIGINT) END)"
+    )
     return f"try_divide(cast({units} AS DOUBLE) / {unit}, count({value}))"
 
 

@@ -125,7 +125,10 @@ def fit_baseline(
         standardization=False,
         weightCol="weight",
     )
-    return Baseline(regression.fit(training), spec.model_features, target, split_cases)
+    model = regression.fit(training)
+    if model.hasSummary and model.summary.totalIterations >= MAX_ITERATIONS:
+        raise RuntimeError(f"the fit did not converge in {MAX_ITERATIONS} iterations")
+    return Baseline(model, spec.model_features, target, split_cases)
 
 
 # (truth, prediction) -> short name

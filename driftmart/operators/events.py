@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmart.functions.expressions import flag, mean_of, month_start, name, named
+from driftmart.functions.expressions import flag, mean_of, month_start, name, named, text
 from driftmart.spec import BAD_STATUSES, STATION_MODE, MonitoringSpec
 
 
@@ -13,13 +13,13 @@ def event_monthly(
     events: DataFrame, spec: MonitoringSpec = STATION_MODE, with_duration: bool = True
 ) -> DataFrame:
     """Events, critical events and mean duration per month and entity."""
-    is_critical = flag(f"{name(spec.severity)} = '{spec.critical_severity}'")
+    is_critical = flag(f"{name(spec.severity)} = {text(spec.critical_severity)}")
     aggregates = [
         named("count(1)", "event_count"),
         named(f"sum({is_critical})", "critical_event_count"),
     ]
     if with_duration:
-        aggregates.append(named(mean_of(spec.duration), "avg_event_duration"))
+        aggregates.append(named(mean_of(spec.duration, events.schema[spec.duration.name].dataType), "avg_event_duration"))
     return events.groupBy(
         F.expr(month_start(spec.event_date)).alias(spec.period), spec.entity
     ).agg(*map(F.expr, aggregates))

@@ -18,6 +18,6 @@ def monthly_metrics(readings: DataFrame, spec: MonitoringSpec = STATION_MODE) ->
     return readings.groupBy(
         F.expr(month_start(spec.reading_date)).alias(spec.period), *spec.series_keys
     ).agg(
-        *[F.expr(mean_of(m)).alias(spec.avg(m.name)) for m in spec.metrics],
+        *[F.expr(mean_of(m, readings.schema[m.name].dataType)).alias(spec.avg(m.name)) for m in spec.metrics],
         F.count(F.lit(1)).alias("obs_count"),
     )

@@ -50,6 +50,25 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def load_check(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and values present per table and column; reads, hence parses, every value."""
+    parts = []
+    for table, df in tables.items():
+        counts = df.agg(
+            F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]
+        )
+        columns = [c for c in df.columns]
+        parts.append(
+            counts.unpivot(["_rows"], columns, "column_name", "present").select(
+                F.lit(table).alias("table_name"), "column_name", F.col("_rows").alias("row_count"), "present"
+            )
+        )
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def grain_duplicates(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     """All rows whose grain values occur more than once.
 

@@ -27,21 +27,33 @@ def merged(
     keys: Sequence[str],
     columns: Sequence[str] | None = None,
     how: str = "full",
+    never_null: Sequence[str] = (),
 ) -> DataFrame:
     """Join two results on their grain; shared columns get a suffix per side.
 
     The grain must be unique on both sides (see ``grain_duplicates``). Missing
     key values match each other. ``merge_flag`` tells where a row came from.
+
+    Keys declared ``never_null`` join by plain equality, which lets the join use a
+    distribution that both sides already have; a missing value in one of them fails a
+    full join instead of being matched or dropped.
     """
     columns = shared_columns(left, right, keys) if columns is None else list(columns)
+    if not columns:
+        raise ValueError("the two results share no column besides their keys")
+
+    missing = " OR ".join(f"{name(k)} IS NULL" for k in never_null)
+    present = f"CASE WHEN {missing} THEN cast(raise_error('missing key') AS BOOLEAN) ELSE true END" if missing else "true"
 
     def side(df: DataFrame, suffix: str) -> DataFrame:
         return df.selectExpr(
             *[named(name(c), c + suffix) for c in (*keys, *columns)],
-            named("true", f"present{suffix}"),
+            named(present, f"present{suffix}"),
         )
 
-    same_key = " AND ".join(f"{name(k + LEFT_SUFFIX)} <=> {name(k + RIGHT_SUFFIX)}" for k in keys)
+    same_key = " AND ".join(
+        f"{name(k + LEFT_SUFFIX)} {'=' if k in never_null else '<=>'} {name(k + RIGHT_SUFFIX)}" for k in keys
+    )
     joined = side(left, LEFT_SUFFIX).join(side(right, RIGHT_SUFFIX), F.expr(same_key), how)
     origin = (
         f"CASE WHEN present{RIGHT_SUFFIX} IS NULL THEN '{LEFT_ONLY}'"

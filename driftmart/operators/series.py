@@ -24,20 +24,25 @@ def monitoring_series(
     with_baseline: bool = True,
     with_rolling: bool = True,
     markers: tuple[str, ...] = (),
+    ordered: bool | None = None,
 ) -> DataFrame:
     """Value, rolling mean and baseline of a metric over time.
 
     One slice if entity and mode are given, otherwise every series. Markers are
-    0/1 columns for the points to highlight.
+    0/1 columns for the points to highlight. Rows are ordered for one entity; all series
+    together are ordered on request only, as a total order costs another pass.
     """
     rows = mart
     if entity is not None:
         rows = rows.where(F.col(spec.entity) == F.lit(entity))
     if mode is not None:
         rows = rows.where(F.col(spec.mode) == F.lit(mode))
-    return rows.selectExpr(
+    result = rows.selectExpr(
         *map(name, (*spec.series_keys, spec.period, spec.avg(metric))),
         *([name(spec.rolling(metric))] if with_rolling else []),
         *([name(spec.baseline(metric))] if with_baseline else []),
         *[named(flag(f"{MARKERS[marker]} > 0"), marker) for marker in markers],
-    ).orderBy(*spec.series_keys, spec.period)
+    )
+    if ordered or (ordered is None and entity is not None):
+        return result.orderBy(*spec.series_keys, spec.period)
+    return result

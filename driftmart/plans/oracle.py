@@ -168,6 +168,22 @@ COUNT_ALL = " UNION ALL ".join(
 )
 
 
+# The columns of the three raw tables. The test tables have no launch year.
+RAW_COLUMNS = {
+    "stations": ("station_id", "station_name", "region", "station_type", "launch_year"),
+    "measurements": (
+        "measurement_id", "station_id", "measurement_date", "mode", "pressure", "flow", "temperature", "vibration",
+    ),
+    "events": ("event_id", "station_id", "event_date", "event_type", "severity", "duration_hours"),
+}
+LOAD_CHECK = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{column}' AS column_name, COUNT(*) AS row_count,"
+    f" {'0' if column == 'launch_year' else f'COUNT({column})'} AS present FROM mon_{table}"
+    for table, columns in RAW_COLUMNS.items()
+    for column in columns
+)
+
+
 def oracle_sql() -> dict[str, str]:
     sums = {
         SPEC.prev_flag: "large_{}_prev",
@@ -180,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
     features = ", ".join(STATION_SPEC.model_features)
     return {
         "row_counts": ansi.with_query(SOURCES, COUNT_ALL),
+        "csv_load_check": ansi.with_query(SOURCES, LOAD_CHECK),
         "csv_load_row_counts": ansi.with_query(SOURCES, COUNT_ALL),
         "table_profile": ansi.with_query(
             SOURCES,

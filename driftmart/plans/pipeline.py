@@ -78,5 +78,7 @@ def verify(
     """
     quality.require_unique(monitoring, spec.grain)
     return reconcile.summary(
-        reconcile.merged(monitoring, mart_by_sql(spark, tables, spec), spec.grain)
+        reconcile.merged(
+            monitoring, mart_by_sql(spark, tables, spec), spec.grain, never_null=(spec.entity,)
+        )
     )

@@ -91,6 +91,16 @@ def csv_load_row_counts(spark, folder):
     return quality.row_counts(files.load_tables(spark, target))
 
 
+@query
+def csv_load_check(spark, folder):
+    """The three tables as CSV, reloaded with every value parsed: rows and values present per column."""
+    t = star.tables(spark, folder)
+    target = shared_folder(spark, "csv")
+    for name in ("stations", "measurements", "events"):
+        files.write_csv(getattr(t, name), f"{target}/{name}.csv")
+    return quality.load_check(files.load_tables(spark, target))
+
+
 @query
 def csv_mart_roundtrip(spark, folder):
     """The mart exported to CSV and read back with its schema."""
@@ -317,7 +327,9 @@ def altered_copy(result: DataFrame) -> DataFrame:
 
 def _comparison(spark, folder, how="full"):
     result = _mart(spark, folder)
-    return reconcile.merged(result, altered_copy(result), SPEC.grain, how=how)
+    return reconcile.merged(
+        result, altered_copy(result), SPEC.grain, how=how, never_null=(SPEC.entity,)
+    )
 
 
 @query
@@ -326,7 +338,7 @@ def reconcile_implementations(spark, folder):
     t = star.tables(spark, folder)
     tables = {"measurements": t.measurements, "events": t.events}
     by_sql = pipeline.mart_by_sql(spark, tables, SPEC)
-    return reconcile.summary(reconcile.merged(_mart(spark, folder), by_sql, SPEC.grain))
+    return reconcile.summary(reconcile.merged(_mart(spark, folder), by_sql, SPEC.grain, never_null=(SPEC.entity,)))
 
 
 @query

@@ -27,7 +27,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Comma-separated file(s) with a header.
 
     The schema is given, so no extra pass infers it. A header that disagrees with
-    the schema or a malformed row fails the load instead of being nulled.
+    the schema fails. A malformed value fails as soon as its column is read (columns
+    that no query reads are not parsed); ``quality.load_check`` reads them all.
     """
     reader = (
         spark.read.schema(schema)

@@ -218,3 +218,18 @@ def test_month_bucket(spark):
         readings(spark, [(1, "2024-02-29", "a", 1.0, 1.0), (1, "2024-02-01", "a", 3.0, 1.0)])
     )
     assert [(r.month_start, r.avg_pressure) for r in monthly.collect()] == [(date(2024, 2, 1), 2.0)]
+
+
+@pytest.mark.parametrize("decimals", [None, 2])
+def test_nan_reading_counts_as_missing(spark, decimals):
+    spec = STATION_MODE if decimals is None else STATION_MODE.with_decimals(pressure=decimals)
+    rows = readings(spark, [(1, "2024-01-10", "normal", float("nan"), 1.0), (1, "2024-01-11", "normal", 5.0, 1.0)])
+    assert monthly_metrics(rows, spec).first()["avg_pressure"] == 5.0
+    assert monitoring_mart(rows, events(spark, []), spec).first()["avg_pressure"] == 5.0
+
+
+def test_reading_off_the_declared_grid_fails(spark):
+    rows = readings(spark, [(1, "2024-01-10", "normal", 0.004, 1.0)])
+    with pytest.raises(Exception, match="pressure has more than 2 decimals"):
+        monthly_metrics(rows, STATION_MODE.with_decimals(pressure=2)).collect()
+    assert monthly_metrics(rows, STATION_MODE.with_decimals(pressure=3)).first()["avg_pressure"] == 0.004

@@ -4,8 +4,11 @@ import pytest
 from check_oracle import compare, duck
 
 import __spark_entry__ as contract
+from driftmart.plans.oracle import oracle_sql
+from driftmart.plans.queries import REGISTRY
 
-ORACLE = contract.oracle_sql()
+# The optional corpus queries have their own tests.
+ORACLE = oracle_sql()
 WITHOUT_SQL = {"ml_predictions", "ml_metrics", "ml_confusion"}
 
 
@@ -15,8 +18,9 @@ def con(small):
 
 
 def test_only_model_fitting_lacks_sql():
-    assert set(contract.queries()) - set(ORACLE) == WITHOUT_SQL
-    assert set(ORACLE) <= set(contract.queries())
+    assert set(REGISTRY) - set(ORACLE) == WITHOUT_SQL
+    assert set(ORACLE) <= set(REGISTRY) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
