@@ -102,8 +102,11 @@ def top_products(table: DataFrame, is_query: Column, wanted: int = 5) -> DataFra
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec")
     query_blocks = max(1, -(-queries.count() // vectors.QUERY_BLOCK))
     queries = queries.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
-    head = queries.withColumn("block", F.lit(0).cast("long")).withColumn("bound", F.lit(float("-inf")))
-    first = saved(vectors.meet(dealt.where("block = 0"), head, search_block(wanted), "long"), "longest")
+    # Block 0 for all; as a literal it would leave the join without a key.
+    head = queries.withColumn("block", F.pmod(F.col("qblock"), F.lit(1)).cast("long")).withColumn(
+        "bound", F.lit(float("-inf"))
+    )
+    first = saved(vectors.meet(dealt, head, search_block(wanted), "long"), "longest")
     bounds = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= wanted, F.min("score").cast("double")).alias("bound")
     )
