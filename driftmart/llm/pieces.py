@@ -39,6 +39,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 # Stretches whose encoding a worker remembers, and neighbour verdicts.
 CACHE = 200_000
 PAIR_CACHE = 500_000
+# Characters of an ending by which pieces are looked up.
+TAIL = 4
 # Field numbers of the model file.
 TRAINER, NORMALIZER = 2, 3
 MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE_SPACES = 3, 2, 3, 4, 5
@@ -72,11 +74,12 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class PieceModel:
-    """A compiled model; small, and sent to the executors as it is."""
+    """A compiled model; it travels as the model file's bytes (see ``compiled``)."""
 
     def __init__(self, serialized: bytes):
         import sentencepiece
 
+        self.serialized = serialized
         reader = sentencepiece.SentencePieceProcessor(model_proto=serialized)
         spec = dict(_fields(serialized))
         normalizer = dict(_fields(spec.get(NORMALIZER, b"")))
@@ -105,29 +108,32 @@ class PieceModel:
                 self.output.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids), default=1)
         self.characters = {p for p in self.ids if len(p) == 1}
-        # Sizes of the pieces that end on three given characters, the longest first.
-        ends: dict[str, set[int]] = {}
+        self.lengths = [0] * reader.get_piece_size()
+        self.texts = [""] * reader.get_piece_size()
+        for p, i in self.ids.items():
+            self.lengths[i], self.texts[i] = len(p), p
+        # Per ending of up to four characters: size and id of the pieces a text with that ending
+        # may end on, the longest first. Beyond four characters the id is not known yet (-1).
+        longer: dict[str, set[int]] = {}
         for p in self.ids:
-            if len(p) > 2:
-                ends.setdefault(p[-3:], set()).add(len(p))
-        self.sizes = {end: (*sorted(sizes, reverse=True), 2, 1) for end, sizes in ends.items()}
+            if len(p) > TAIL:
+                longer.setdefault(p[-TAIL:], set()).add(len(p))
+        self.endings: dict[str, tuple[tuple[int, int], ...]] = {}
+        for end in {p[-k:] for p in self.ids for k in range(1, TAIL + 1)}:
+            tails = [(k, self.ids[end[-k:]]) for k in range(len(end), 0, -1) if end[-k:] in self.ids]
+            beyond = [(size, -1) for size in sorted(longer.get(end, ()), reverse=True)]
+            self.endings[end] = (*beyond, *tails)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece continues over a space")
         newline = "" if any("\n" in p for p in self.ids) else "\n"
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}{newline}]+|{SPACE}+" + (f"|{newline}+" if newline else ""))
-        self._forget()
-
-    def _forget(self) -> None:
         self.solved: dict[str, tuple[int, ...]] = {}
         self.earlier: dict[str, tuple[int, ...]] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("solved", "earlier", "follows")}
+        # By left id times the number of pieces, plus right id; left is -1 at the start.
+        self.follows: dict[int, bool] = {}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._forget()
+    def __reduce__(self):
+        return compiled, (self.serialized,)
 
     def merged(self, text: str) -> list[str]:
         """The merge result of a short text: the best-ranked neighbours are joined first."""
@@ -142,14 +148,15 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, left: str, right: str) -> bool:
-        key = (left, right)
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether the two pieces' joint text merges into just them; left is -1 at the start."""
+        key = left * len(self.texts) + right
         verdict = self.follows.get(key)
         if verdict is None:
             if len(self.follows) >= PAIR_CACHE:
                 self.follows.clear()
-            expected = [left, right] if left else [right]
-            verdict = self.follows[key] = self.merged(left + right) == expected
+            expected = [self.texts[i] for i in (left, right) if i >= 0]
+            verdict = self.follows[key] = self.merged("".join(expected)) == expected
         return verdict
 
     def _fallback(self, character: str) -> list[int]:
@@ -162,40 +169,45 @@ class PieceModel:
         last = self._merge_path(text) if self.kind == MERGES else self._cheapest_path(text)
         found, end = [], len(text)
         while end:
-            found.append(self.ids[last[end]])
-            end -= len(last[end])
+            found.append(last[end])
+            end -= self.lengths[last[end]]
         return found[::-1]
 
-    def _merge_path(self, text: str) -> list[str]:
+    def _merge_path(self, text: str) -> list[int]:
         """The last piece of the path to every place: the only one that may follow its start's."""
-        last = [""] * (len(text) + 1)
-        follows, ids, sizes = self.follows, self.ids, self.sizes
+        last = [-1] * (len(text) + 1)
+        follows, ids, endings, count = self.follows, self.ids, self.endings, len(self.texts)
         for end in range(1, len(text) + 1):
-            for size in sizes.get(text[end - 3 : end] if end > 2 else "", (2, 1)):
+            tail = text[max(0, end - TAIL) : end]
+            pieces = endings.get(tail)
+            while pieces is None:
+                tail = tail[1:]
+                pieces = endings.get(tail)
+            for size, piece in pieces:
                 start = end - size
-                if start < 0:
-                    continue
-                piece = text[start:end]
-                if piece not in ids:
-                    continue
-                left = last[start]
-                verdict = follows.get((left, piece))
+                if piece < 0:
+                    if start < 0:
+                        continue
+                    piece = ids.get(text[start:end], -1)
+                    if piece < 0:
+                        continue
+                verdict = follows.get(last[start] * count + piece)
                 if verdict is None:
-                    verdict = self.may_follow(left, piece)
+                    verdict = self.may_follow(last[start], piece)
                 if verdict:
                     last[end] = piece
                     break
         return last
 
-    def _cheapest_path(self, text: str) -> list[str]:
+    def _cheapest_path(self, text: str) -> list[int]:
         size = len(text)
         cost = [0.0] + [float("inf")] * size
-        last = [""] * (size + 1)
+        last = [-1] * (size + 1)
         for end in range(1, size + 1):
             for start in range(max(0, end - self.longest), end):
                 weight = self.weight.get(text[start:end])
                 if weight is not None and cost[start] + weight < cost[end]:
-                    cost[end], last[end] = cost[start] + weight, text[start:end]
+                    cost[end], last[end] = cost[start] + weight, self.ids[text[start:end]]
         return last
 
     def stretch_ids(self, text: str) -> tuple[int, ...]:
@@ -235,10 +247,16 @@ class PieceModel:
         return raw.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=4)
+def compiled(serialized: bytes) -> PieceModel:
+    """The process's model of these bytes; a worker keeps it, with its caches, from task to task."""
+    return PieceModel(serialized)
+
+
 @lru_cache(maxsize=4)
 def load(path: str = MODEL_PATH) -> PieceModel:
     with open(path, "rb") as file:
-        return PieceModel(file.read())
+        return compiled(file.read())
 
 
 def encode(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
