@@ -1,7 +1,7 @@
 """python -m driftmart SOURCE TARGET [--csv]
 
 SOURCE holds stations.csv, measurements.csv and events.csv. Writes the marts
-under TARGET and prints the reports and the reconciliation.
+under TARGET and prints the reports, the reconciliation and the scores of the model.
 """
 
 import argparse
@@ -29,6 +29,10 @@ def main() -> None:
         report.show()
     print("reconciliation")
     pipeline.verify(spark, saved[pipeline.MONITORING], tables).show()
+    pipeline.mismatches(spark, saved[pipeline.MONITORING], tables)["mismatches_by_column"].show(100)
+    for name, result in pipeline.model(saved[pipeline.ML_READY]).items():
+        print(name)
+        result.show()
 
 
 if __name__ == "__main__":

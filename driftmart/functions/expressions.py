@@ -45,27 +45,45 @@ def text(value: str) -> str:
     return f"'{escaped}'"
 
 
-def mean_of(metric: Metric, data_type: T.DataType | None = None) -> str:
-    """Average of a metric; NULL and NaN readings are skipped.
+def present(metric: Metric, data_type: T.DataType | None = None) -> str:
+    """The metric's reading, NULL where it is missing or NaN."""
+    floating = data_type is None or isinstance(data_type, (T.DoubleType, T.FloatType))
+    return nan_to_null(metric.name) if floating else name(metric.name)
+
+
+def sum_of(metric: Metric, data_type: T.DataType | None = None) -> str:
+    """Sum of a metric, in units of its last decimal if it has declared decimals.
 
     With known decimals the sum runs over whole units (a long): exact, and cheaper
     than a decimal sum because neither the cast nor the buffer leaves primitives. A
     reading that is no whole number of units fails the aggregate; none is rounded.
     """
-    floating = data_type is None or isinstance(data_type, (T.DoubleType, T.FloatType))
-    value = nan_to_null(metric.name) if floating else name(metric.name)
+    value = present(metric, data_type)
     if metric.decimals is None:
-        return f"avg({value})"
+        return f"sum({value})"
     unit = number(float(10**metric.decimals))
     scaled = f"{value} * {unit}"
     # Floating-point products of on-grid readings miss whole units by a few ulps only.
     on_grid = f"abs({scaled} - rint({scaled})) <= 1e-9D * greatest(1D, abs({scaled}))"
     complaint = text(f"{metric.name} has more than {metric.decimals} decimals")
-    units = (
+    return (
         f"sum(CASE WHEN {value} IS NULL THEN NULL WHEN {on_grid} THEN cast(rint({scaled}) AS BIGINT)"
         f" ELSE cast(raise_error({complaint}) AS BIGINT) END)"
     )
-    return f"try_divide(cast({units} AS DOUBLE) / {unit}, count({value}))"
+
+
+def mean_from(metric: Metric, total: str, count: str) -> str:
+    """Average from a sum by ``sum_of`` and the number of readings present."""
+    unit = number(float(10 ** (metric.decimals or 0)))
+    return f"try_divide(cast({total} AS DOUBLE) / {unit}, {count})"
+
+
+def mean_of(metric: Metric, data_type: T.DataType | None = None) -> str:
+    """Average of a metric; NULL and NaN readings are skipped."""
+    value = present(metric, data_type)
+    if metric.decimals is None:
+        return f"avg({value})"
+    return mean_from(metric, sum_of(metric, data_type), f"count({value})")
 
 
 def mean_of_present(columns: list[str]) -> str:

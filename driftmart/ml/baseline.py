@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -19,6 +20,12 @@ TRAIN_SHARE = 0.8
 MAX_ITERATIONS = 1000
 INVERSE_PENALTY = 1.0
 
+# Relative change of the loss at which a fit stops. At 1e-6 some gradients are still a fifth
+# of their start, at 1e-10 rounding keeps the optimiser from stopping at all.
+TOLERANCE = 1e-8
+# Training rows a task holds: fewer tasks per pass, as a fit makes many passes.
+ROWS_PER_TASK = 200_000
+
 
 def complete_cases(
     ml_table: DataFrame, target: str = TARGET, spec: MonitoringSpec = STATION
@@ -28,13 +35,26 @@ def complete_cases(
     return rows.withColumn(target, F.col(target).cast("int"))
 
 
+def saved_cases(
+    ml_table: DataFrame, target: str = TARGET, spec: MonitoringSpec = STATION
+) -> DataFrame:
+    """The complete cases, written once to the shared folder and read back.
+
+    Split and fit read them several times; the joins and windows behind them run once.
+    """
+    spark = ml_table.sparkSession
+    path = shared_folder(spark, "ml-cases")
+    complete_cases(ml_table, target, spec).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def time_split(
     cases: DataFrame, share: float = TRAIN_SHARE, spec: MonitoringSpec = STATION
 ) -> DataFrame:
     """Add ``split``: the first ``floor(share * months)`` months train, the rest test.
 
     The cut-off is a one-row subquery over the distinct months, whose number is
-    bounded by the calendar.
+    bounded by the calendar. It reads ``cases`` a second time: pass saved ones.
     """
     months = cases.agg(F.array_sort(F.collect_set(spec.period)).alias("months"))
     train_months = F.floor(F.size("months") * F.lit(share)).cast("int")
@@ -65,6 +85,7 @@ class Baseline:
     features: tuple[str, ...]
     target: str
     split_cases: DataFrame
+    iterations: int
 
     def coefficients(self) -> dict[str, float]:
         return dict(zip(self.features, self.model.coefficients.toArray().tolist()))
@@ -91,6 +112,7 @@ def fit_baseline(
     target: str = TARGET,
     spec: MonitoringSpec = STATION,
     share: float = TRAIN_SHARE,
+    cases: DataFrame | None = None,
 ) -> Baseline:
     """Split by time and fit an L2 logistic regression with balanced class weights.
 
@@ -98,20 +120,24 @@ def fit_baseline(
     free intercept; Spark divides the loss by the total weight, which balancing
     makes equal to the number of training rows, so the penalty is ``1 / (C * n)``.
 
-    Fitting reads the table many times, so it is written once to the shared
-    folder. Only the two class counts come to the driver.
+    Fitting reads the rows many times, so they come from saved ``cases`` (see
+    ``saved_cases``, the default). One job brings the class counts per month, as many rows
+    as the calendar has months, to the driver: cut-off and weights follow from them.
     """
-    spark = ml_table.sparkSession
-    path = shared_folder(spark, "ml-cases")
-    complete_cases(ml_table, target, spec).write.parquet(path)
-    split_cases = time_split(spark.read.parquet(path), share, spec)
-
-    train = split_cases.where("split = 'train'")
-    size, positives = train.agg(F.count(F.lit(1)), F.sum(F.col(target))).first()
-    positives = positives or 0
+    if cases is None:
+        cases = saved_cases(ml_table, target, spec)
+    months = sorted(
+        cases.groupBy(spec.period).agg(F.count(F.lit(1)), F.sum(F.col(target))).collect()
+    )
+    training_months = months[: math.floor(len(months) * share)]
+    size = sum(n for _, n, _ in training_months)
+    positives = sum(ones for _, _, ones in training_months)
     if positives in (0, size):
         raise ValueError(f"training data needs both classes of {target}; {positives} of {size} rows are 1")
 
+    in_training = F.col(spec.period) <= F.lit(training_months[-1][0])
+    split_cases = cases.withColumn("split", F.when(in_training, "train").otherwise("test"))
+    train = cases.where(in_training).coalesce(-(-size // ROWS_PER_TASK))
     weight = F.when(F.col(target) == 1, size / (2.0 * positives)).otherwise(
         size / (2.0 * (size - positives))
     )
@@ -120,15 +146,69 @@ def fit_baseline(
     )
     regression = LogisticRegression(
         maxIter=MAX_ITERATIONS,
+        tol=TOLERANCE,
         regParam=1.0 / (INVERSE_PENALTY * size),
         elasticNetParam=0.0,
         standardization=False,
         weightCol="weight",
     )
     model = regression.fit(training)
-    if model.hasSummary and model.summary.totalIterations >= MAX_ITERATIONS:
+    iterations = model.summary.totalIterations
+    if iterations >= MAX_ITERATIONS:
         raise RuntimeError(f"the fit did not converge in {MAX_ITERATIONS} iterations")
-    return Baseline(model, spec.model_features, target, split_cases)
+    return Baseline(model, spec.model_features, target, split_cases, iterations)
+
+
+def stationarity(fitted: Baseline) -> DataFrame:
+    """Per feature, how far the fit is from a stationary point of its penalised loss.
+
+    ``gradient`` at the fitted coefficients and ``gradient_at_zero`` with all of them and
+    the intercept at zero, both per training row; one pass over the training rows.
+    """
+    train = fitted.split_cases.where("split = 'train'")
+    label = F.col(fitted.target)
+    scored = fitted.predict(train).select(
+        *fitted.features,
+        label.alias("label"),
+        (F.col("probability") - label).alias("residual"),
+        (F.lit(0.5) - label).alias("residual_at_zero"),
+    )
+
+    def weighted(feature: str, residual: str):
+        # balanced weights: half of the loss belongs to each class
+        product = F.col(feature) * F.col(residual)
+        return F.struct(
+            F.sum(F.when(F.col("label") == 1, product)).alias("ones"),
+            F.sum(F.when(F.col("label") == 0, product)).alias("zeros"),
+        )
+
+    totals = scored.agg(
+        F.count(F.lit(1)).alias("size"),
+        F.sum("label").alias("positives"),
+        F.array(
+            *[
+                F.struct(
+                    F.lit(feature).alias("feature"),
+                    F.lit(coefficient).alias("coefficient"),
+                    weighted(feature, "residual").alias("fitted"),
+                    weighted(feature, "residual_at_zero").alias("start"),
+                )
+                for feature, coefficient in fitted.coefficients().items()
+            ]
+        ).alias("sums"),
+    )
+    negatives = F.col("size") - F.col("positives")
+
+    def per_row(part: str):
+        return F.col(f"{part}.ones") / (2 * F.col("positives")) + F.col(f"{part}.zeros") / (2 * negatives)
+
+    penalty = F.col("coefficient") / (INVERSE_PENALTY * F.col("size"))
+    return totals.select("size", "positives", F.inline("sums")).select(
+        "feature",
+        "coefficient",
+        (per_row("fitted") + penalty).alias("gradient"),
+        per_row("start").alias("gradient_at_zero"),
+    )
 
 
 # (truth, prediction) -> short name

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+RANGED = (T.NumericType, T.DateType)
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -51,22 +54,35 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def load_check(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows and values present per table and column; reads, hence parses, every value."""
-    parts = []
-    for table, df in tables.items():
-        counts = df.agg(
-            F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]
-        )
-        columns = [c for c in df.columns]
-        parts.append(
-            counts.unpivot(["_rows"], columns, "column_name", "present").select(
-                F.lit(table).alias("table_name"), "column_name", F.col("_rows").alias("row_count"), "present"
+    """Type, rows, values present and range per table and column.
+
+    Reads, hence parses, every value. Ranges are numbers: those of dates count days since
+    1970-01-01, those of other types are NULL.
+    """
+
+    def number(field: T.StructField):
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DateType):
+            column = F.unix_date(column)
+        return column.cast("double") if isinstance(field.dataType, RANGED) else F.lit(None).cast("double")
+
+    def check(table: str, df: DataFrame) -> DataFrame:
+        columns = [
+            F.struct(
+                F.lit(field.name).alias("column_name"),
+                F.lit(field.dataType.simpleString()).alias("data_type"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.count(F.col(f"`{field.name}`")).alias("present"),
+                F.min(number(field)).alias("smallest"),
+                F.max(number(field)).alias("largest"),
             )
+            for field in df.schema
+        ]
+        return df.agg(F.array(*columns).alias("columns")).select(
+            F.lit(table).alias("table_name"), F.inline("columns")
         )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+
+    return reduce(DataFrame.unionByName, [check(table, df) for table, df in tables.items()])
 
 
 def grain_duplicates(df: DataFrame, grain: Sequence[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """The same marts as ANSI SQL text.
 
-A second, independent formulation: ``reconcile`` compares its result with the
+A second formulation of the same spec: ``reconcile`` compares its result with the
 DataFrame plans, and because the text uses only common SQL it also runs on other
-engines.
+engines. Thresholds and status rules come from the spec here as well; ``oracle`` states
+its own.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ def _month(column: str) -> str:
 
 
 def _mean(metric: Metric) -> str:
-    """Exact for declared decimals: the sum is a decimal, divided once."""
+    """NaN is missing. Exact for declared decimals: the sum is a decimal, divided once."""
+    value = f"NULLIF({metric.name}, CAST('NaN' AS DOUBLE))"
     if metric.decimals is None:
-        return f"AVG({metric.name})"
-    exact = f"SUM(CAST({metric.name} AS DECIMAL(18, {metric.decimals})))"
-    return f"CAST({exact} AS DOUBLE) / NULLIF(COUNT({metric.name}), 0)"
+        return f"AVG({value})"
+    exact = f"SUM(CAST({value} AS DECIMAL(18, {metric.decimals})))"
+    return f"CAST({exact} AS DOUBLE) / NULLIF(COUNT({value}), 0)"
 
 
 def _ratio(value: str, base: str) -> str:

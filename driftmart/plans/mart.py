@@ -63,7 +63,14 @@ def monitoring_mart(
     a sort-merge join then sorts 8 columns instead of 44. Where a query reads no
     event column Catalyst drops the join, the event side being unique on its key.
     """
-    enriched = enrich_with_events(monthly(readings, spec), monthly_events(events, spec), spec)
+    return mart_of(monthly(readings, spec), monthly_events(events, spec), spec)
+
+
+def mart_of(
+    metrics: DataFrame, event_months: DataFrame, spec: MonitoringSpec = STATION_MODE
+) -> DataFrame:
+    """The mart from monthly metrics and event metrics, both distributed by entity."""
+    enriched = enrich_with_events(metrics, event_months, spec)
     return event_flags(with_status(enriched, spec)).select(*spec.mart_columns)
 
 
@@ -73,11 +80,16 @@ def ml_ready(readings: DataFrame, events: DataFrame, spec: MonitoringSpec = STAT
     The target is taken from the next month present; the last month of a station
     has none. It shares the sort of the other windows.
     """
-    enriched = has_event_flags(
-        enrich_with_events(
-            monthly(readings, spec), monthly_events(events, spec, with_duration=False), spec
-        )
+    return ml_ready_of(
+        monthly(readings, spec), monthly_events(events, spec, with_duration=False), spec
     )
+
+
+def ml_ready_of(
+    metrics: DataFrame, event_months: DataFrame, spec: MonitoringSpec = STATION
+) -> DataFrame:
+    """The model table from monthly metrics and event metrics, both distributed by entity."""
+    enriched = has_event_flags(enrich_with_events(metrics, event_months, spec))
     following = Window.partitionBy(*spec.series_keys).orderBy(spec.period)
     with_targets = enriched.withColumns(
         {f"{c}_next_month": F.lead(c).over(following) for c in EVENT_STATES}

@@ -6,13 +6,48 @@ from driftmart.functions.expressions import ABSOLUTE_TOLERANCE, RELATIVE_TOLERAN
 from driftmart.ml.baseline import TARGET, TRAIN_SHARE
 from driftmart.plans import ansi
 from driftmart.plans.queries import OTHER_SLICE, SLICE, STATION
-from driftmart.sources.star import SPEC, STATION_SPEC
-from driftmart.spec import (
-    METRIC_STATUS_BASELINE,
-    METRIC_STATUS_DEFAULT,
-    METRIC_STATUS_PREV,
-    METRIC_STATUS_ROLLING,
+from driftmart.spec import Metric, MonitoringSpec
+
+# Fixed values, stated here once more so that a wrong one in the package's own spec shows.
+SPEC = MonitoringSpec(
+    entity="station_id",
+    mode="mode",
+    period="month_start",
+    reading_date="measurement_date",
+    metrics=(Metric("pressure", 2), Metric("flow", 2), Metric("temperature", 2), Metric("vibration", 2)),
+    flagged=("pressure", "flow"),
+    feature_order=("pressure", "flow", "vibration", "temperature"),
+    window=3,
+    prev_threshold=0.10,
+    rolling_threshold=0.10,
+    baseline_threshold=0.15,
+    event_date="event_date",
+    severity="severity",
+    critical_severity="critical",
+    duration=Metric("duration_hours", 2),
 )
+STATION_SPEC = SPEC.per_entity()
+CORE = """SELECT *, CASE WHEN signal_count = 0 THEN 'stable' WHEN signal_count = 1 THEN 'warning'
+  WHEN signal_count IN (2, 3) THEN 'anomaly' ELSE 'critical' END AS monitoring_status
+FROM (SELECT *, is_large_pressure_shift_prev + is_large_flow_shift_prev + is_large_pressure_shift_rolling
+  + is_large_flow_shift_rolling + is_pressure_anomaly_3_prev + is_flow_anomaly_3_prev AS signal_count
+  FROM marked) counted"""
+FINAL = """SELECT *, CASE WHEN event_count > 0 THEN 1 ELSE 0 END AS has_events,
+  CASE WHEN critical_event_count > 0 THEN 1 ELSE 0 END AS has_critical_events,
+  CASE WHEN signal_count > 0 AND event_count > 0 THEN 1 ELSE 0 END AS problematic_with_events,
+  CASE WHEN monitoring_status IN ('anomaly', 'critical') AND event_count > 0 THEN 1 ELSE 0 END
+    AS anomaly_or_critical_with_events
+FROM enriched"""
+FEATURES = """avg_pressure avg_flow avg_temperature avg_vibration obs_count
+prev_avg_pressure prev_avg_flow prev_avg_temperature prev_avg_vibration
+rolling_avg_pressure_3 rolling_avg_flow_3 rolling_avg_temperature_3 rolling_avg_vibration_3
+baseline_avg_pressure_3_prev baseline_avg_flow_3_prev baseline_avg_temperature_3_prev baseline_avg_vibration_3_prev
+pressure_abs_change pressure_pct_change flow_abs_change flow_pct_change
+temperature_abs_change temperature_pct_change vibration_abs_change vibration_pct_change
+pressure_vs_rolling_diff pressure_vs_rolling_pct flow_vs_rolling_diff flow_vs_rolling_pct
+pressure_vs_baseline_diff pressure_vs_baseline_pct flow_vs_baseline_diff flow_vs_baseline_pct
+is_large_pressure_shift_prev is_large_flow_shift_prev is_large_pressure_shift_rolling is_large_flow_shift_rolling
+is_pressure_anomaly_3_prev is_flow_anomaly_3_prev signal_count""".split()
 
 STATIONS = """SELECT s_suppkey AS station_id, s_name AS station_name, r_name AS region, n_name AS station_type
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
@@ -30,8 +65,16 @@ EVENTS = """SELECT o_orderkey AS event_id, o_custkey AS station_id, CAST(o_order
 FROM orders"""
 
 SOURCES = [("mon_stations", STATIONS), ("mon_measurements", MEASUREMENTS), ("mon_events", EVENTS)]
-MART = [*SOURCES, *ansi.mart_ctes("mon_measurements", "mon_events", SPEC)]
-ML = [*SOURCES, *ansi.ml_ctes("mon_measurements", "mon_events", STATION_SPEC)]
+STATED = {"core": CORE, "mart": FINAL}
+
+
+def _stated(ctes: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The common layers, with status rules as stated above."""
+    return [(name, STATED.get(name, body)) for name, body in ctes]
+
+
+MART = [*SOURCES, *_stated(ansi.mart_ctes("mon_measurements", "mon_events", SPEC))]
+ML = [*SOURCES, *_stated(ansi.ml_ctes("mon_measurements", "mon_events", STATION_SPEC))]
 
 GRAIN = ", ".join(SPEC.grain)
 
@@ -47,10 +90,10 @@ def _ml(final: str, *more: tuple[str, str]) -> str:
 def _metric_status() -> str:
     def case(m: str) -> str:
         return (
-            f"CASE WHEN {SPEC.baseline_flag(m)} = 1 THEN '{METRIC_STATUS_BASELINE}'"
-            f" WHEN {SPEC.rolling_flag(m)} = 1 THEN '{METRIC_STATUS_ROLLING}'"
-            f" WHEN {SPEC.prev_flag(m)} = 1 THEN '{METRIC_STATUS_PREV}'"
-            f" ELSE '{METRIC_STATUS_DEFAULT}' END AS {SPEC.metric_status(m)}"
+            f"CASE WHEN is_{m}_anomaly_3_prev = 1 THEN 'anomaly_vs_baseline'"
+            f" WHEN is_large_{m}_shift_rolling = 1 THEN 'large_shift_vs_rolling'"
+            f" WHEN is_large_{m}_shift_prev = 1 THEN 'large_shift_vs_prev'"
+            f" ELSE 'normal' END AS {m}_monitoring_status"
         )
 
     return _mart(f"SELECT {GRAIN}, {', '.join(map(case, SPEC.flagged))} FROM marked")
@@ -121,7 +164,7 @@ def _by_column() -> str:
 
 # ---- prediction ---------------------------------------------------------------
 
-COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in (TARGET, *STATION_SPEC.model_features))
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in (TARGET, *FEATURES))
 SPLIT = [
     ("cases", f"SELECT * FROM ml_ready WHERE {COMPLETE}"),
     ("months", "SELECT month_start, ROW_NUMBER() OVER (ORDER BY month_start) AS n,"
@@ -176,12 +219,40 @@ RAW_COLUMNS = {
     ),
     "events": ("event_id", "station_id", "event_date", "event_type", "severity", "duration_hours"),
 }
+RAW_TYPES = {
+    **dict.fromkeys(("station_id", "measurement_id", "event_id"), "bigint"),
+    **dict.fromkeys(("measurement_date", "event_date"), "date"),
+    **dict.fromkeys(("pressure", "flow", "temperature", "vibration", "duration_hours"), "double"),
+    "launch_year": "int",
+}
+
+
+def _load_check(table: str, column: str) -> str:
+    kind = RAW_TYPES.get(column, "string")
+    value = "NULL" if column == "launch_year" or kind == "string" else column
+    value = f"({column} - DATE '1970-01-01')" if kind == "date" else value
+    return (
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS data_type, COUNT(*) AS row_count,"
+        f" {'0' if column == 'launch_year' else f'COUNT({column})'} AS present,"
+        f" CAST(MIN({value}) AS DOUBLE) AS smallest, CAST(MAX({value}) AS DOUBLE) AS largest FROM mon_{table}"
+    )
+
+
 LOAD_CHECK = " UNION ALL ".join(
-    f"SELECT '{table}' AS table_name, '{column}' AS column_name, COUNT(*) AS row_count,"
-    f" {'0' if column == 'launch_year' else f'COUNT({column})'} AS present FROM mon_{table}"
-    for table, columns in RAW_COLUMNS.items()
-    for column in columns
+    _load_check(table, column) for table, columns in RAW_COLUMNS.items() for column in columns
 )
+# Outcomes of the forecast that has_events stays as it is, on the test rows.
+PERSISTENCE = (
+    "outcomes",
+    " SELECT COUNT(*) AS n, " + ", ".join(
+        f"COUNT(*) FILTER (WHERE {TARGET} = {truth} AND has_events = {guess}) AS {cell}"
+        for cell, truth, guess in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+    ) + " FROM split_cases WHERE split = 'test'",
+)
+
+
+def _ratio(part: str, whole: str) -> str:
+    return f"COALESCE(CAST({part} AS DOUBLE) / NULLIF({whole}, 0), 0)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -193,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
     totals = ", ".join(
         f"CAST(SUM({flag(m)}) AS BIGINT) AS {name.format(m)}" for flag, name in sums.items() for m in SPEC.flagged
     )
-    features = ", ".join(STATION_SPEC.model_features)
+    features = ", ".join(FEATURES)
     return {
         "row_counts": ansi.with_query(SOURCES, COUNT_ALL),
         "csv_load_check": ansi.with_query(SOURCES, LOAD_CHECK),
@@ -204,6 +275,9 @@ def oracle_sql() -> dict[str, str]:
             " MIN(measurement_date) AS min_date, MAX(measurement_date) AS max_date FROM mon_measurements UNION ALL"
             " SELECT 'events', COUNT(*), 6, MIN(event_date), MAX(event_date) FROM mon_events",
         ),
+        "measurements_head": ansi.with_query(
+            SOURCES, "SELECT * FROM mon_measurements ORDER BY measurement_id LIMIT 3"
+        ),
         "monthly_head": _mart("SELECT * FROM monthly ORDER BY station_id, mode, month_start LIMIT 3"),
         "csv_mart_roundtrip": _mart("SELECT * FROM mart"),
         "parquet_ml_roundtrip": _ml("SELECT * FROM ml_ready"),
@@ -298,4 +372,24 @@ def oracle_sql() -> dict[str, str]:
             " MAX(month_start) AS last_month FROM split_cases GROUP BY split",
             *SPLIT,
         ),
+        "ml_persistence_metrics": _ml(
+            f"SELECT {_ratio('tp + tn', 'n')} AS accuracy, {_ratio('tp', 'tp + fp')} AS precision,"
+            f" {_ratio('tp', 'tp + fn')} AS recall, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM outcomes",
+            *SPLIT,
+            PERSISTENCE,
+        ),
+        "ml_persistence_confusion": _ml(
+            " UNION ALL ".join(
+                f"SELECT {truth} AS truth, {guess} AS prediction, {cell} AS row_count FROM outcomes"
+                for cell, truth, guess in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+            ),
+            *SPLIT,
+            PERSISTENCE,
+        ),
+        "ml_test_truth": _ml(
+            f"SELECT {TARGET} AS truth, COUNT(*) AS row_count, MIN(month_start) AS first_month,"
+            f" MAX(month_start) AS last_month FROM split_cases WHERE split = 'test' GROUP BY {TARGET}",
+            *SPLIT,
+        ),
+        "ml_fit_check": " UNION ALL ".join(f"SELECT '{c}' AS feature, TRUE AS is_stationary" for c in FEATURES),
     }

@@ -6,12 +6,16 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmart.operators import analysis, quality, reconcile
+from driftmart.ml import baseline
+from driftmart.operators import analysis, quality, reconcile, series
+from driftmart.operators.events import event_monthly
+from driftmart.operators.metrics import monthly_from_sums, monthly_sums
 from driftmart.plans import ansi, mart
 from driftmart.sources import files
-from driftmart.spec import STATION_MODE, MonitoringSpec
+from driftmart.spec import STATION, STATION_MODE, MonitoringSpec
 
 MONITORING, ML_READY = "monitoring", "ml_ready"
+SUMS, EVENT_MONTHS = "monthly_sums", "event_months"
 
 
 def build(
@@ -23,25 +27,50 @@ def build(
 ) -> dict[str, DataFrame]:
     """Compute both marts once, save them, and return the saved tables.
 
-    Reports then read the few mart columns they need instead of repeating the
-    aggregation and the windows. Files are sorted by series, so a filter on a
-    station skips row groups.
+    Raw readings and events are read once: their monthly sums are saved beside the marts,
+    and both marts are built from them. Reports then read the few mart columns they need
+    instead of repeating the aggregation and the windows. Files are sorted by series, so a
+    filter on a station skips row groups. After a failed run, start again with ``overwrite``.
     """
     stations = spec.per_entity()
+
+    def save(name: str, df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        path = f"{target.rstrip('/')}/{name}"
+        files.write_parquet(df, path, cluster_by=keys, mode=mode)
+        return df.sparkSession.read.parquet(path)
+
+    sums = save(SUMS, monthly_sums(tables["measurements"], spec), (*spec.series_keys, spec.period))
+    event_months = save(
+        EVENT_MONTHS, event_monthly(tables["events"], spec), (spec.entity, spec.period)
+    )
+
+    def inputs(grain: MonitoringSpec, events: DataFrame) -> tuple[DataFrame, DataFrame, MonitoringSpec]:
+        return mart.by_entity(monthly_from_sums(sums, grain), grain), mart.by_entity(events, grain), grain
+
     marts = {
-        MONITORING: (mart.monitoring_mart(tables["measurements"], tables["events"], spec), spec),
-        ML_READY: (mart.ml_ready(tables["measurements"], tables["events"], stations), stations),
+        MONITORING: (mart.mart_of(*inputs(spec, event_months)), spec),
+        ML_READY: (mart.ml_ready_of(*inputs(stations, event_months.drop("avg_event_duration"))), stations),
     }
     saved = {}
     for name, (df, grain) in marts.items():
-        path = f"{target.rstrip('/')}/{name}"
-        files.write_parquet(df, path, cluster_by=(*grain.series_keys, grain.period), mode=mode)
-        saved[name] = df.sparkSession.read.parquet(path)
+        saved[name] = save(name, df, (*grain.series_keys, grain.period))
         if csv:
-            files.write_csv(saved[name], f"{path}.csv", mode=mode)
+            files.write_csv(saved[name], f"{target.rstrip('/')}/{name}.csv", mode=mode)
     return saved
 
 
+def model(ml_ready: DataFrame, spec: MonitoringSpec = STATION) -> dict[str, DataFrame]:
+    """Fit the baseline on a saved model table: split, predictions and scores of the test months."""
+    fitted = baseline.fit_baseline(ml_ready, spec=spec, cases=baseline.complete_cases(ml_ready, spec=spec))
+    predictions = fitted.test_predictions()
+    return {
+        "split_summary": baseline.split_summary(fitted.split_cases, spec),
+        "predictions": predictions,
+        "metrics": baseline.classification_metrics(predictions),
+        "confusion_matrix": baseline.confusion_matrix(predictions),
+    }
+
+
 def reports(monitoring: DataFrame, spec: MonitoringSpec = STATION_MODE) -> dict[str, DataFrame]:
     """The analysis and diagnostic tables of a saved mart."""
     return {
@@ -52,6 +81,11 @@ def reports(monitoring: DataFrame, spec: MonitoringSpec = STATION_MODE) -> dict[
         "signal_totals": analysis.signal_totals(monitoring, spec),
         "overlap_counts": analysis.overlap_counts(monitoring),
         "grain_duplicates": quality.grain_duplicates(monitoring, spec.grain),
+        "diagnostics": analysis.diagnostics(monitoring, spec),
+        **{
+            f"{m}_series": series.monitoring_series(monitoring, m, spec, markers=tuple(series.MARKERS))
+            for m in spec.flagged
+        },
     }
 
 
@@ -77,8 +111,27 @@ def verify(
     A repeated grain would pair every copy with every copy, so it is an error.
     """
     quality.require_unique(monitoring, spec.grain)
-    return reconcile.summary(
-        reconcile.merged(
-            monitoring, mart_by_sql(spark, tables, spec), spec.grain, never_null=(spec.entity,)
-        )
+    return reconcile.summary(_against_sql(spark, monitoring, tables, spec))
+
+
+def mismatches(
+    spark: SparkSession,
+    monitoring: DataFrame,
+    tables: Mapping[str, DataFrame],
+    spec: MonitoringSpec = STATION_MODE,
+) -> dict[str, DataFrame]:
+    """Where ``verify`` finds differences: rows by origin, the mismatching rows, counts by column."""
+    quality.require_unique(monitoring, spec.grain)
+    frame = _against_sql(spark, monitoring, tables, spec)
+    checks = reconcile.checked(frame)
+    return {
+        "origins": reconcile.origin_counts(frame),
+        "mismatches": reconcile.mismatches(checks),
+        "mismatches_by_column": reconcile.mismatches_by_column(checks),
+    }
+
+
+def _against_sql(spark, monitoring, tables, spec):
+    return reconcile.merged(
+        monitoring, mart_by_sql(spark, tables, spec), spec.grain, never_null=(spec.entity,)
     )

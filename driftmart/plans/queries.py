@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftmart.ml import baseline
 from driftmart.operators import analysis, events, features, metrics, quality, reconcile, series, signals
@@ -73,6 +74,12 @@ def table_profile(spark, folder):
     )
 
 
+@query
+def measurements_head(spark, folder):
+    """First three readings, a report as in the data checks."""
+    return quality.head(star.measurements(spark, folder), 3, "measurement_id")
+
+
 @query
 def monthly_head(spark, folder):
     """First three rows of the monthly layer, a report as in the data checks."""
@@ -93,7 +100,7 @@ def csv_load_row_counts(spark, folder):
 
 @query
 def csv_load_check(spark, folder):
-    """The three tables as CSV, reloaded with every value parsed: rows and values present per column."""
+    """The three tables as CSV, reloaded with every value parsed: type, values present and range per column."""
     t = star.tables(spark, folder)
     target = shared_folder(spark, "csv")
     for name in ("stations", "measurements", "events"):
@@ -388,16 +395,34 @@ def ml_complete_cases(spark, folder):
     return cases.select(*STATION_SPEC.grain, *STATION_SPEC.model_features, baseline.TARGET)
 
 
+def _split(spark, folder):
+    cases = baseline.saved_cases(_ml_ready(spark, folder), spec=STATION_SPEC)
+    return baseline.time_split(cases, spec=STATION_SPEC)
+
+
 @query
 def ml_time_split(spark, folder):
-    cases = baseline.complete_cases(_ml_ready(spark, folder), spec=STATION_SPEC)
-    return baseline.time_split(cases, spec=STATION_SPEC).select(*STATION_SPEC.grain, "split")
+    return _split(spark, folder).select(*STATION_SPEC.grain, "split")
 
 
 @query
 def ml_split_summary(spark, folder):
-    cases = baseline.complete_cases(_ml_ready(spark, folder), spec=STATION_SPEC)
-    return baseline.split_summary(baseline.time_split(cases, spec=STATION_SPEC), STATION_SPEC)
+    return baseline.split_summary(_split(spark, folder), STATION_SPEC)
+
+
+def _persistence(spark, folder):
+    """Test rows with the forecast "as this month", the yardstick of the model."""
+    return _split(spark, folder).where("split = 'test'").withColumn("prediction", F.col("has_events"))
+
+
+@query
+def ml_persistence_metrics(spark, folder):
+    return baseline.classification_metrics(_persistence(spark, folder))
+
+
+@query
+def ml_persistence_confusion(spark, folder):
+    return baseline.confusion_matrix(_persistence(spark, folder))
 
 
 def _fitted(spark, folder):
@@ -419,3 +444,22 @@ def ml_metrics(spark, folder):
 @query
 def ml_confusion(spark, folder):
     return baseline.confusion_matrix(_fitted(spark, folder).test_predictions())
+
+
+@query
+def ml_test_truth(spark, folder):
+    """What the model is tested on: rows and months per true value among its predictions."""
+    return _fitted(spark, folder).test_predictions().groupBy(F.col(baseline.TARGET).alias("truth")).agg(
+        F.count("prediction").alias("row_count"),
+        F.min(STATION_SPEC.period).alias("first_month"),
+        F.max(STATION_SPEC.period).alias("last_month"),
+    )
+
+
+@query
+def ml_fit_check(spark, folder):
+    """Per feature, whether the fit brought the gradient of the loss below a tenth of its start."""
+    gradients = baseline.stationarity(_fitted(spark, folder))
+    return gradients.select(
+        "feature", (F.abs("gradient") <= 0.1 * F.abs("gradient_at_zero")).alias("is_stationary")
+    )

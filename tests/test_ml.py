@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftmart import STATION
 from driftmart.ml import baseline
+from driftmart.plans import pipeline
 
 
 def months(n):
@@ -96,6 +97,26 @@ def test_metrics_follow_from_the_confusion_matrix(fitted):
     assert agree == 60
 
 
+def test_gradients_vanish_at_the_fit_only(table, fitted):
+    rows = baseline.stationarity(fitted).collect()
+    assert [r.feature for r in rows] == list(STATION.model_features)
+    assert max(abs(r.gradient) for r in rows) < 1e-4 < max(abs(r.gradient_at_zero) for r in rows)
+    train = table.toPandas()
+    train = train[train.month_start <= months(15)[11]]
+    y = train[baseline.TARGET].to_numpy()
+    weight = np.where(y == 1, 1 / (2 * y.sum()), 1 / (2 * (1 - y).sum()))
+    expected = train[list(STATION.model_features)].to_numpy().T @ (weight * (0.5 - y))
+    assert np.allclose([r.gradient_at_zero for r in rows], expected)
+    assert 0 < fitted.iterations < baseline.MAX_ITERATIONS
+
+
+def test_model_of_a_saved_table(table):
+    results = pipeline.model(table)
+    assert results["predictions"].count() == 60
+    assert sum(r.row_count for r in results["confusion_matrix"].collect()) == 60
+    assert {r.split: r.row_count for r in results["split_summary"].collect()} == {"train": 240, "test": 60}
+
+
 def test_undefined_ratios_are_zero(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], f"{baseline.TARGET} int, prediction int")
     assert tuple(baseline.classification_metrics(df).first()) == (1.0, 0.0, 0.0, 0.0)

@@ -35,6 +35,48 @@ def test_saved_marts(spark, saved):
     assert sorted(map(str, exported.collect())) == sorted(map(str, frames["monitoring"].collect()))
 
 
+def test_marts_from_saved_sums_equal_the_direct_ones(spark, tables, saved):
+    readings, log = tables["measurements"], tables["events"]
+    for name, direct in (("monitoring", mart.monitoring_mart(readings, log)), ("ml_ready", mart.ml_ready(readings, log))):
+        assert saved[1][name].columns == direct.columns
+        keys = [c for c in ("station_id", "mode", "month_start") if c in direct.columns]
+        mine, theirs = (df.orderBy(*keys).collect() for df in (saved[1][name], direct))
+        for a, b in zip(mine, theirs, strict=True):
+            # sums of sums may differ in the last bit
+            assert all(x == y or x == pytest.approx(y, rel=1e-12) for x, y in zip(a, b, strict=True))
+
+
+def test_saved_sums_hold_every_reading_and_event(spark, tables, saved):
+    sums = spark.read.parquet(f"{saved[0]}/monthly_sums")
+    assert sums.agg({"obs_count": "sum"}).first()[0] == tables["measurements"].count()
+    assert spark.read.parquet(f"{saved[0]}/event_months").agg({"event_count": "sum"}).first()[0] == 4
+
+
+def test_nan_is_missing_in_both_formulations(spark):
+    nan = float("nan")
+    rows = [(1, "2024-01-01", "normal", 1.0, nan, 3.0, 4.0), (1, "2024-01-02", "normal", 2.0, 5.0, nan, 4.0)]
+    tables = {"measurements": readings(spark, rows), "events": events(spark, [(1, "2024-01-05", "low", nan)])}
+    frames = [mart.monitoring_mart(tables["measurements"], tables["events"]), pipeline.mart_by_sql(spark, tables)]
+    for frame in frames:
+        row = frame.first()
+        assert (row.avg_pressure, row.avg_flow, row.avg_temperature) == (1.5, 5.0, 3.0)
+        assert (row.avg_event_duration, row.event_count, row.signal_count) == (None, 1, 0)
+
+
+def test_mismatch_detail(spark, tables, saved):
+    altered = saved[1]["monitoring"].selectExpr(
+        *[
+            "CASE WHEN station_id = 1 THEN avg_flow + 1 ELSE avg_flow END AS avg_flow" if c == "avg_flow" else c
+            for c in saved[1]["monitoring"].columns
+        ]
+    )
+    detail = pipeline.mismatches(spark, altered, tables)
+    assert detail["mismatches"].count() == 12
+    worst = detail["mismatches_by_column"].first()
+    assert (worst.column_name, worst.mismatch_count) == ("avg_flow", 12)
+    assert [tuple(r) for r in detail["origins"].collect()] == [("both", 36)]
+
+
 def test_second_formulation_agrees(spark, tables, saved):
     assert tuple(pipeline.verify(spark, saved[1]["monitoring"], tables).first()) == (36, 0, 0, 0)
 
@@ -58,6 +100,7 @@ def test_reports(saved):
     assert results["grain_duplicates"] == []
     assert results["critical_events"][0].total_critical_events == 1
     assert sum(r.row_count for r in results["status_distribution"]) == 36
+    assert len(results["diagnostics"]) == len(results["pressure_series"]) == len(results["flow_series"]) == 36
 
 
 def test_existing_results_are_not_overwritten(tables, saved):

@@ -6,10 +6,12 @@ import pytest
 
 import __spark_entry__ as contract
 
-EAGER = {"csv_load_row_counts", "csv_mart_roundtrip", "parquet_ml_roundtrip"} | {
+EAGER = {"csv_load_row_counts", "csv_load_check", "csv_mart_roundtrip", "parquet_ml_roundtrip"} | {
     "ml_predictions",
     "ml_metrics",
     "ml_confusion",
+    "ml_test_truth",
+    "ml_fit_check",
 }
 
 
@@ -55,6 +57,17 @@ def test_model_table_window_reuses_the_join_order(no_broadcast, small):
     assert len(hash_exchanges(plan)) == 4
 
 
+def test_comparison_keeps_the_distribution_of_the_marts(no_broadcast, small):
+    plan = plan_of(no_broadcast, small, "reconcile_summary")
+    top = plan[: plan.index("Window [")]
+    assert "SortMergeJoin" in top and "hashpartitioning" not in top
+
+
+def test_split_runs_no_window_twice(no_broadcast, small):
+    plan = plan_of(no_broadcast, small, "ml_time_split")
+    assert "Window [" not in plan and "Join" not in plan
+
+
 def test_aggregation_combines_before_the_shuffle(no_broadcast, small):
     plan = plan_of(no_broadcast, small, "monthly_metrics")
     assert "partial_sum" in plan and plan.count("Exchange") == 1

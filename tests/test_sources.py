@@ -63,13 +63,13 @@ def test_round_trips(spark, tmp_path):
 
 class FakeContext:
     def __init__(self, master, folder=None):
-        self.master, self.folder = master, folder
+        self.master, self.folder, self.applicationId = master, folder, "app-1"
 
     def getCheckpointDir(self):
         return self.folder
 
     def setCheckpointDir(self, folder):
-        self.folder = folder
+        raise AssertionError("the session's checkpoint folder is not ours to set")
 
 
 class FakeSession:
@@ -87,12 +87,14 @@ def test_shared_folder_follows_the_cluster_setting():
     assert first.startswith("hdfs://shared/scratch/driftmart-x-") and first != second
 
 
-def test_shared_folder_is_never_local_on_a_cluster():
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[3,2,1024]"])
+def test_shared_folder_is_never_local_on_a_cluster(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(FakeSession(FakeContext("yarn")), "x")
+        shared_folder(FakeSession(FakeContext(master)), "x")
 
 
-def test_shared_folder_is_chosen_once_in_local_mode():
+def test_one_shared_folder_in_local_mode_and_no_setting_changed():
     session = FakeSession(FakeContext("local[2]"))
     first, second = (shared_folder(session, "x") for _ in range(2))
-    assert os.path.dirname(first) == os.path.dirname(second) == session.sparkContext.folder
+    assert os.path.dirname(first) == os.path.dirname(second) and first != second
+    assert session.sparkContext.folder is None and session.setting is None
