@@ -31,6 +31,8 @@ from driftmart.llm.common import saved
 PROJECTIONS = 64
 THRESHOLD = 0.7
 VERIFY = 0.2
+# Candidates verified at least, per neighbour wanted: a share alone is too few in blocks of some hundred rows.
+FLOOR = 12
 FIRST_WIDTH = 1.0
 GROWTH = 1.07
 BLOCK = 16384
@@ -69,7 +71,7 @@ class Lines:
         """Candidates that collide often enough with a query."""
         lines, size = self.ids.shape
         counts = np.zeros(size, np.int64)
-        enough, need = max(int(VERIFY * size), 2 * wanted), int(np.ceil(THRESHOLD * lines))
+        enough, need = max(int(VERIFY * size), FLOOR * wanted), int(np.ceil(THRESHOLD * lines))
         low = high = None
         for level in range(10_000):
             a, b = (x[:, query].tolist() for x in self.windows(level))
