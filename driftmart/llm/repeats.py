@@ -9,9 +9,10 @@ with a smaller ``doc_id``. Strings are judged on the input and never cross docum
    all occurrences of a window meet in one bucket. Where one step of a task holds equal
    fragments, those of greater documents are removed on the spot and only the first is
    dealt, so a passage in a third of all documents arrives once per step.
-2. Screen. In a bucket, a fragment stays only if its minimizer together with the bytes on
-   one side, half a window's worth, also occurs in another document: any equal window
-   contains one of the two. Of equal fragments all but the first document's are removed
+2. Screen. In a bucket, a fragment stays only if an occurrence of its minimizer together
+   with the bytes on one side, half a window's worth, also occurs in another document: any
+   equal window contains one of the two at its first occurrence. A fragment may hold its
+   minimizer several times, and every occurrence is looked at. Of equal fragments all but the first document's are removed
    whole; of the first ones, a second screen with longer strings keeps those that may share
    a window with a different fragment.
 3. Index. The bucket's distinct fragments are joined to a text in order of their first
@@ -276,7 +277,8 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     begin = np.cumsum(length) - length
     doc = ids[local]
     substrings = Substrings(content)
-    keep = _screen(substrings, begin, length, place, doc, ROUGH)
+    which, spot = _occurrences(substrings, content, begin, length, place)
+    keep = _screen(substrings, begin, length, which, spot, doc, ROUGH)
     local, at, windows, length, begin, place, doc = (
         x[keep] for x in (local, at, windows, length, begin, place, doc)
     )
@@ -290,7 +292,8 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
         copies = doc > doc[heads][member]
         out.append((local[copies], at[copies], length[copies]))
         # Only heads that may share a window with another document's head need the index.
-        fine = _screen(substrings, begin[heads], length[heads], place[heads], doc[heads], FINE)
+        which, spot = _occurrences(substrings, content, begin[heads], length[heads], place[heads])
+        fine = _screen(substrings, begin[heads], length[heads], which, spot, doc[heads], FINE)
         indexed = np.flatnonzero(fine)
         indexed = indexed[np.lexsort((heads[indexed], doc[heads[indexed]]))]
         number = np.full(len(heads), -1)
@@ -310,22 +313,39 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     return ids[which], keys[which], start, size
 
 
+def _occurrences(
+    substrings: Substrings, content: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Fragment and place in ``content`` of every occurrence of the fragments' minimizers."""
+    first = begin + place
+    byte, value = content[first], substrings(first, GRAM)
+    which, spots = [np.arange(len(begin))], [first]
+    for k in range(1, int(length.max(initial=0))):
+        index = np.flatnonzero(place + k + GRAM <= length)
+        index = index[content[first[index] + k] == byte[index]]
+        index = index[substrings(first[index] + k, GRAM) == value[index]]
+        which.append(index)
+        spots.append(first[index] + k)
+    return np.concatenate(which), np.concatenate(spots)
+
+
 def _screen(
     substrings: Substrings,
     begin: np.ndarray,
     length: np.ndarray,
-    place: np.ndarray,
+    which: np.ndarray,
+    spot: np.ndarray,
     doc: np.ndarray,
     sides: tuple[tuple[int, int], ...],
 ) -> np.ndarray:
-    """Fragments whose minimizer, with bytes on one of these sides, is in another document, too."""
+    """Fragments of which an occurrence of the minimizer, with bytes on one of these sides, is in another document, too."""
     keep = np.zeros(len(begin), bool)
     for left, right in sides:
-        at, size = begin + place - left, left + GRAM + right
-        index = np.flatnonzero((at >= begin) & (at + size <= begin + length))
-        if not len(index):
+        at, size = spot - left, left + GRAM + right
+        inside = np.flatnonzero((at >= begin[which]) & (at + size <= begin[which] + length[which]))
+        if not len(inside):
             continue
-        value = substrings(at[index], size)
+        index, value = which[inside], substrings(at[inside], size)
         order = np.lexsort((doc[index], value))
         index, value = index[order], value[order]
         new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))

@@ -237,6 +237,22 @@ def test_repeats_against_brute_force(spark, texts, bucket_bytes):
     assert found == plain_repeats(rows)
 
 
+@pytest.mark.parametrize("unit", ["a line of thirty bytes, twice\n", " " * 12, "-" * 15, None])
+def test_repeats_of_a_passage_that_holds_its_minimizer_twice(spark, unit):
+    rng = np.random.RandomState(8)
+
+    def own(n):
+        return "".join(chr(97 + k) for k in rng.randint(26, size=n))
+
+    given = []
+    for _ in range(300):
+        line, shared = unit or own(rng.randint(12, 39)), own(60)
+        given += [own(45) + line + line + shared + own(20), own(45) + line + shared + own(20)]
+    rows = list(enumerate(given))
+    found = {r[0]: tuple(r)[1:] for r in repeats.without_repeats(documents(spark, given)).collect()}
+    assert found == plain_repeats(rows)
+
+
 def plain_components(rows):
     sets, root = {}, {}
 
