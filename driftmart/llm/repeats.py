@@ -8,7 +8,11 @@ with a smaller ``doc_id``. Strings are judged on the input and never cross docum
    windows of one minimizer form a fragment, and fragments are dealt by minimizer, so that
    all occurrences of a window meet in one bucket. Where one step of a task holds equal
    fragments, those of greater documents are removed on the spot and only the first is
-   dealt, so a passage in a third of all documents arrives once per step.
+   dealt, so a passage in a third of all documents arrives once per step. At its edges
+   fragments carry their documents' own text and stay distinct: where the fragments of one
+   minimizer would fill a bucket, they are split and dealt by the minimizer with ``FINE``
+   bytes around it, and where these would, as single windows by all their bytes. Equal
+   windows share each of these keys, and the keys that are hot are counted first.
 2. Screen. In a bucket, a fragment stays only if an occurrence of its minimizer together
    with the bytes on one side, half a window's worth, also occurs in another document: any
    equal window contains one of the two at its first occurrence. A fragment may hold its
@@ -57,11 +61,15 @@ FINE = ((0, 29), (10, 19), (20, 10), (29, 0))
 BUCKET_BYTES = 1_800_000
 DEAL_BYTES = 8 << 20
 PACKING = 6
+ENTRY_BYTES = 16  # of a fragment's row and place
 
 _VALUE = random_words(256, 31)
 _POWER = random_words(8, 32)
 _BASE = random_words(1, 33)[0]
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+# The minimizer's offset in a window decides which of the FINE strings lies in the window.
+_SIDE_LEFT = np.array([left for left, _ in FINE])
+_SIDE_ENDS = _SIDE_LEFT[1:]
 
 
 class Substrings:
@@ -136,59 +144,180 @@ def fragments(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], start, windows, place, value
 
 
-def _deal(buckets: int, raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed fragments) of one step's rows."""
+def _classes(doc: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """For each fragment the first one of equal content in the smallest document."""
+    order = np.lexsort((doc, same))
+    new = np.ones(len(order), bool)
+    new[1:] = same[order][1:] != same[order][:-1]
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return head
+
+
+def _split(
+    level: int, text: np.ndarray, row: np.ndarray, at: np.ndarray, windows: np.ndarray, place: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Parts of fragments whose key is hot, under longer keys that equal windows share.
+
+    First the windows of one occurrence of the minimizer and one of the ``FINE`` sides, by
+    the minimizer with these bytes; then single windows, by all their bytes.
+    """
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    sizes = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)])
+    for a, b in steps(sizes):
+        count = windows[a:b]
+        length = count + LENGTH - 1
+        begin = np.cumsum(length) - length
+        content = text[ranges(at[a:b], length)]
+        substrings = Substrings(content)
+        spots = np.unique(_occurrences(substrings, content, begin, length, place[a:b])[1])
+        window = ranges(begin, count)
+        which = np.repeat(np.arange(b - a), count)
+        spot = spots[np.searchsorted(spots, window)]  # each window's own first occurrence
+        side = np.searchsorted(_SIDE_ENDS, spot - window, side="right")
+        if level == 0:
+            new = np.ones(len(window), bool)
+            new[1:] = (which[1:] != which[:-1]) | (spot[1:] != spot[:-1]) | (side[1:] != side[:-1])
+            first = np.flatnonzero(new)
+        else:
+            first = np.arange(len(window))
+        own = np.diff(np.append(first, len(window)))
+        window, which, spot, side = window[first], which[first], spot[first], side[first]
+        if level == 0:
+            key = substrings(spot - _SIDE_LEFT[side], FINE[0][1] + GRAM) + side.astype(np.uint64) * _POWER[5]
+        else:
+            key = substrings(window, LENGTH)
+        key = mix64(key + _POWER[6 + level])
+        same = substrings(window, own + LENGTH - 1) ^ key
+        found = (row[a:b][which], at[a:b][which] + window - begin[which], own, spot - window, key, same)
+        for k, x in enumerate(found):
+            parts[k].append(x)
+    return tuple(np.concatenate(x) for x in parts)
+
+
+def _fragments_of_step(
+    raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, hot: list[np.ndarray]
+) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of one step's rows: fragments with keys that are not hot, those split ``len(hot)`` times, what is removed.
+
+    Row, place in the step, windows, offset of the minimizer, key, and the index of the first
+    fragment of equal content; of the removed row, place and length.
+    """
     base = starts[0]
-    rows, at, windows, places, values, contents = [], [], [], [], [], []
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for a, b in steps(starts):
         low = starts[a] - base
         text = raw[starts[a] : starts[b]]
         row, start, count, place, value = fragments(text, starts[a : b + 1] - starts[a])
-        rows.append(row + a)
-        at.append(start + low)
-        windows.append(count)
-        places.append(place)
-        values.append(value)
-        contents.append(Substrings(text)(start, count + LENGTH - 1) ^ value)
-    if not rows:
-        return
-    row, at, windows, place, value, same = (
-        np.concatenate(x) for x in (rows, at, windows, places, values, contents)
-    )
+        contents = Substrings(text)(start, count + LENGTH - 1) ^ value
+        for k, x in enumerate((row + a, start + low, count, place, value, contents)):
+            parts[k].append(x)
+    row, at, windows, place, key, same = (np.concatenate(x) for x in parts)
     text = raw[base : starts[-1]]
-    doc = ids[row]
-    order = np.lexsort((doc, same))
-    first = np.ones(len(order), bool)
-    first[1:] = same[order][1:] != same[order][:-1]
-    owner = np.empty(len(order), np.int64)
-    owner[order] = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    gone = doc > owner
-    bucket = (value % np.uint64(buckets)).astype(np.int64)
-    by_bucket = np.lexsort((at, bucket))
-    edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
+    done: list[list[np.ndarray]] = [[] for _ in range(6)]
+    lost: list[tuple[np.ndarray, ...]] = []
+    total = 0
+    for level in range(len(hot) + 1):
+        doc = ids[row]
+        head = _classes(doc, same)
+        gone = doc > doc[head]
+        lost.append((row[gone], at[gone], windows[gone] + LENGTH - 1))
+        again = ~gone & np.isin(key, hot[level]) if level < len(hot) else np.zeros(len(row), bool)
+        stays = ~gone & ~again
+        # All that stays of one content stays together, so its head stays, too.
+        number = np.cumsum(stays) - 1
+        last = (row[stays], at[stays], windows[stays], place[stays], key[stays], number[head[stays]] + total)
+        total += len(last[0])
+        for k, x in enumerate(last):
+            done[k].append(x)
+        if not again.any():
+            if level < len(hot):
+                last = tuple(x[:0] for x in last)
+            break
+        row, at, windows, place, key, same = _split(level, text, row[again], at[again], windows[again], place[again])
+    gone = tuple(np.concatenate([x[k] for x in lost]) for k in range(3))
+    return tuple(np.concatenate(x) for x in done), last, gone
+
+
+def _united(row: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of the rows with those that overlap put together."""
+    order = np.lexsort((at, row))
+    row, at, end = row[order], at[order], (at + length)[order]
+    reach = np.maximum.accumulate(end)  # rows lie one behind the other
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    return row[first], at[first], reach[last] - at[first]
+
+
+def _deal(
+    buckets: int, raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, keys: np.ndarray, hot: list[np.ndarray]
+) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed fragments) of one step's rows; what the step itself removes has a bucket below 0."""
+    (row, at, windows, place, value, head), _, gone = _fragments_of_step(raw, starts, ids, hot)
+    text = raw[starts[0] : starts[-1]]
+    row_start = starts - starts[0]
     packer = zstandard.ZstdCompressor(level=PACKING)
-    for a, b in zip(edges, np.append(edges[1:], len(by_bucket))):
-        own = by_bucket[a:b]
-        used, local = np.unique(row[own], return_inverse=True)
-        lost, kept = gone[own], ~gone[own]
-        place_in_row = at[own] - (starts[row[own]] - base)
-        part = own[kept]
+
+    def pack(local: np.ndarray, own: np.ndarray, lost: tuple[np.ndarray, ...]) -> bytes:
+        used, local = np.unique(local, return_inverse=True)
+        kept, removed = local[: len(own)], local[len(own) :]
+        first = own[head[own] == own]
+        number = np.searchsorted(first, head[own]) if len(own) else own
         payload = (
             ids[used],
             keys[used],
-            np.diff(local[kept], prepend=0).astype(np.uint32),
-            place_in_row[kept].astype(np.uint32),
-            windows[part].astype(np.uint8),
-            place[part].astype(np.uint8),
-            text[ranges(at[part], windows[part] + LENGTH - 1)],
-            local[lost].astype(np.uint32),
-            place_in_row[lost].astype(np.uint32),
-            windows[own[lost]].astype(np.uint8),
+            np.diff(kept, prepend=0).astype(np.uint32),
+            (at[own] - row_start[row[own]]).astype(np.uint32),
+            np.diff(number, prepend=0).astype(np.uint32),
+            windows[first].astype(np.uint8),
+            place[first].astype(np.uint8),
+            text[ranges(at[first], windows[first] + LENGTH - 1)],
+            removed.astype(np.uint32),
+            (lost[1] - row_start[lost[0]]).astype(np.uint32),
+            lost[2].astype(np.uint32),
         )
-        yield int(bucket[own[0]]), packer.compress(pickle.dumps([x.tobytes() for x in payload]))
-
+        return packer.compress(pickle.dumps([x.tobytes() for x in payload]))
 
-_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8, np.uint32, np.uint32, np.uint8)
+    none = np.zeros(0, np.int64)
+    if len(gone[0]):
+        gone = _united(*gone)
+        spread = int(mix64(ids[gone[0][:1]].astype(np.uint64))[0] % np.uint64(buckets))
+        yield -1 - spread, pack(gone[0], none, gone)
+    bucket = (value % np.uint64(buckets)).astype(np.int64)
+    # In order of place; the first of equal fragments keep their numbers' order within a bucket.
+    by_bucket = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
+    for a, b in zip(edges, np.append(edges[1:], len(by_bucket))):
+        own = by_bucket[a:b]
+        yield int(bucket[own[0]]), pack(row[own], own, (none, none, none))
+
+
+def _heavy(raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, hot: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, after ``len(hot)`` splits, with at least this share of the step's bytes, and their bytes in buckets."""
+    _, _, windows, _, key, head = _fragments_of_step(raw, starts, ids, hot)[1]
+    first = np.zeros(len(head), bool)
+    first[np.unique(head, return_index=True)[1]] = True
+    key, which = np.unique(key, return_inverse=True)
+    size = np.bincount(which, np.where(first, windows + LENGTH - 1, 0) + ENTRY_BYTES).astype(np.int64)
+    heavy = size >= share * float(starts[-1] - starts[0])
+    return key[heavy], size[heavy]
+
+
+_TYPES = (
+    np.int64,
+    np.int64,
+    np.uint32,
+    np.uint32,
+    np.uint32,
+    np.uint8,
+    np.uint8,
+    np.uint8,
+    np.uint32,
+    np.uint32,
+    np.uint32,
+)
 
 
 def run_index(symbols: np.ndarray, rest: np.ndarray, owner: np.ndarray):
@@ -263,26 +392,31 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     """doc_id, text key, start and length of what one bucket removes."""
     unpack = zstandard.ZstdDecompressor()
     columns: list[list[np.ndarray]] = [[] for _ in _TYPES]
-    docs = 0
+    docs = contents = 0
     for payload in payloads:
         part = [np.frombuffer(x, t) for x, t in zip(pickle.loads(unpack.decompress(payload)), _TYPES)]
-        part[2] = np.cumsum(part[2], dtype=np.uint32)
+        part[2] = np.cumsum(part[2], dtype=np.uint32) + np.uint32(docs)
+        part[4] = np.cumsum(part[4], dtype=np.uint32) + np.uint32(contents)
+        part[8] = part[8] + np.uint32(docs)
         for k, x in enumerate(part):
-            columns[k].append(x + np.uint32(docs) if k in (2, 7) else x)
+            columns[k].append(x)
         docs += len(part[0])
-    ids, keys, local, at, windows, place, content, lost, lost_at, lost_windows = (np.concatenate(x) for x in columns)
-    local, at, windows, place = (x.astype(np.int64) for x in (local, at, windows, place))
-    out = [(lost.astype(np.int64), lost_at.astype(np.int64), lost_windows.astype(np.int64) + LENGTH - 1)]
+        contents += len(part[5])
+    ids, keys, local, at, entry, windows, place, content, lost, lost_at, lost_length = (np.concatenate(x) for x in columns)
+    local, at, entry, windows, place = (x.astype(np.int64) for x in (local, at, entry, windows, place))
+    out = [(lost.astype(np.int64), lost_at.astype(np.int64), lost_length.astype(np.int64))]
     length = windows + LENGTH - 1
     begin = np.cumsum(length) - length
-    doc = ids[local]
+    doc = np.empty(len(windows), np.int64)
+    doc[entry] = ids[local]  # the entries of one content are of one document
     substrings = Substrings(content)
     which, spot = _occurrences(substrings, content, begin, length, place)
     keep = _screen(substrings, begin, length, which, spot, doc, ROUGH)
-    local, at, windows, length, begin, place, doc = (
-        x[keep] for x in (local, at, windows, length, begin, place, doc)
-    )
-    if len(local):
+    number = np.cumsum(keep) - 1
+    stays = keep[entry]
+    local, at, entry = local[stays], at[stays], number[entry[stays]]
+    length, begin, place, doc = (x[keep] for x in (length, begin, place, doc))
+    if len(length):
         same = substrings(begin, length)
         order = np.lexsort((doc, same))
         new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
@@ -290,7 +424,8 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
         member = np.empty(len(order), np.int64)
         member[order] = np.cumsum(new) - 1
         copies = doc > doc[heads][member]
-        out.append((local[copies], at[copies], length[copies]))
+        copied = copies[entry]
+        out.append((local[copied], at[copied], length[entry[copied]]))
         # Only heads that may share a window with another document's head need the index.
         which, spot = _occurrences(substrings, content, begin[heads], length[heads], place[heads])
         fine = _screen(substrings, begin[heads], length[heads], which, spot, doc[heads], FINE)
@@ -298,11 +433,11 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
         indexed = indexed[np.lexsort((heads[indexed], doc[heads[indexed]]))]
         number = np.full(len(heads), -1)
         number[indexed] = np.arange(len(indexed))
-        own = np.flatnonzero(~copies & fine[member])
+        own = np.flatnonzero((~copies & fine[member])[entry])
         if len(own):
             h = heads[indexed]
             hit = repeated_windows(content[ranges(begin[h], length[h])], length[h], doc[h])
-            row, column = np.nonzero(hit[number[member[own]]])
+            row, column = np.nonzero(hit[number[member[entry[own]]]])
             begins = np.ones(len(row), bool)
             begins[1:] = (row[1:] != row[:-1]) | (column[1:] != column[:-1] + 1)
             first = np.flatnonzero(begins)
@@ -361,13 +496,41 @@ def text_key(docs: DataFrame) -> Column:
     return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
 
 
-def removed_spans(docs: DataFrame, key: Column, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, text_key, start, length of removed bytes; spans of a row may overlap."""
+def _hot_keys(rows: DataFrame, size: int, bucket_bytes: int) -> list[np.ndarray]:
+    """Sorted keys whose fragments would fill a bucket or more, of minimizers and of parts after one split.
+
+    A step leaves out keys below its share of a bucket, less than a bucket's bytes in all, so
+    that every key with two buckets' bytes is among the result.
+    """
+    hot: list[np.ndarray] = []
+    if size <= bucket_bytes:
+        return hot
+    for _ in range(2):
+
+        def count(batches: Iterator[pa.RecordBatch], hot: list[np.ndarray] = hot[:]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, starts = string_bytes(batch.column("text"))
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                for a, b in steps(starts, DEAL_BYTES):
+                    key, heavy = _heavy(raw, starts[a : b + 1], ids[a:b], hot, bucket_bytes / size)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(heavy)], names=["key", "bytes"])
+
+        sums = rows.mapInArrow(count, "key long, bytes long").groupBy("key").agg(F.sum("bytes").alias("bytes"))
+        found = [r[0] for r in sums.where(F.col("bytes") >= bucket_bytes).select("key").collect()]
+        if not found:
+            break
+        hot.append(np.sort(np.array(found, np.int64).view(np.uint64)))
+    return hot
+
+
+def dealt(docs: DataFrame, key: Column, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """bucket, payload: packed fragments of a step's rows."""
     rows = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
+    hot = _hot_keys(rows, size, bucket_bytes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,12 +538,18 @@ def removed_spans(docs: DataFrame, key: Column, bucket_bytes: int = BUCKET_BYTES
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keys = batch.column("text_key").to_numpy(zero_copy_only=False)
             for a, b in steps(starts, DEAL_BYTES):
-                found = list(_deal(buckets, raw, starts[a : b + 1], ids[a:b], keys[a:b]))
+                found = list(_deal(buckets, raw, starts[a : b + 1], ids[a:b], keys[a:b], hot))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())],
                     names=["bucket", "payload"],
                 )
 
+    return rows.withColumn("text_key", key).mapInArrow(deal, "bucket long, payload binary")
+
+
+def removed_spans(docs: DataFrame, key: Column, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, text_key, start, length of removed bytes; spans of a row may overlap."""
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads = [x for batch in batches for x in batch.column("payload").to_pylist()]
         ids, keys, start, size = _spans(payloads)
@@ -389,9 +558,8 @@ def removed_spans(docs: DataFrame, key: Column, bucket_bytes: int = BUCKET_BYTES
             names=["doc_id", "text_key", "start", "length"],
         )
 
-    keyed = rows.withColumn("text_key", key)
     return (
-        keyed.mapInArrow(deal, "bucket long, payload binary")
+        dealt(docs, key, bucket_bytes)
         .groupBy("bucket")
         .applyInArrow(match, "doc_id long, text_key long, start int, length int")
     )

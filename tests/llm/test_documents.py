@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 
 from driftmart.llm import language, licenses, mixing, near_dups, pieces, pii, queries, repeats, secret_links
 
@@ -253,6 +255,27 @@ def test_repeats_of_a_passage_that_holds_its_minimizer_twice(spark, unit):
     assert found == plain_repeats(rows)
 
 
+def test_repeats_of_a_line_in_most_documents_fill_no_bucket(spark):
+    rng = np.random.RandomState(9)
+
+    def own(n):
+        return "".join(chr(97 + k) for k in rng.randint(26, size=n))
+
+    line, other = own(70), own(140)
+    given = [own(60) + (line, other, line + " " * 90)[i % 3] + own(60) for i in range(3000)]
+    docs = documents(spark, given)
+    # A step sees few documents, as on a large input most steps see a passage seldom.
+    dealt_out = docs.repartition(100, "doc_id")
+    size = {}
+    for bucket, payload in repeats.dealt(dealt_out, repeats.text_key(docs), 20_000).collect():
+        content = pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(payload)))[7]
+        if bucket >= 0:
+            size[bucket] = size.get(bucket, 0) + len(content)
+    assert max(size.values()) < 2 * sum(size.values()) / len(size)
+    found = {r[0]: tuple(r)[1:] for r in repeats.without_repeats(dealt_out, 20_000).collect()}
+    assert found == plain_repeats(list(enumerate(given)))
+
+
 def plain_components(rows):
     sets, root = {}, {}
 
