@@ -6,7 +6,8 @@ fingerprint; an inverted index leads from a fingerprint to its templates and pla
 text's hashes are looked up in it. Hits of one template on nearly one diagonal (text place
 minus template place) are a candidate, unless too few of the template's fingerprints are
 hit. A local alignment in a band around the diagonal then tells which part of the template
-is matched where; ``COVERAGE`` of it must be. Of overlapping matches the one with more
+is matched where; ``COVERAGE`` of it must be, and of the text between the match's ends, and
+``NAMES`` of licences and versions must stand in it letter by letter. Of overlapping matches the one with more
 matched characters stays, then the higher coverage, then the first id.
 
 Templates are few and part of the program; every text is read whole, in bounded steps.
@@ -37,6 +38,8 @@ FINGERPRINTS = 0.3
 
 # Common license statements and notices.
 TEMPLATES: dict[str, str] = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -45,6 +48,9 @@ TEMPLATES: dict[str, str] = {
     "BSD-statement": "Released under the BSD License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
@@ -53,6 +59,8 @@ TEMPLATES: dict[str, str] = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC-statement": "Released under the ISC License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
@@ -61,6 +69,31 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+# Names and versions in templates, which have to stand in a match letter by letter.
+NAMES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3",),
+    "AGPL-notice": ("GNU Affero General Public License", "either version 3"),
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "Apache-2.0-notice": ("Apache License, Version 2.0",),
+    "BSD-statement": ("BSD License",),
+    "CC-BY-4.0": ("CC BY 4.0",),
+    "CC-BY-4.0-notice": ("Creative Commons Attribution 4.0",),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0",),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0",),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0",),
+    "GPL-2.0": ("GNU General Public License, version 2",),
+    "GPL-3.0": ("GNU General Public License, version 3",),
+    "GPL-notice": ("GNU General Public License", "either version 3"),
+    "GPL-warranty": ("GNU General Public License",),
+    "ISC-statement": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3",),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0",),
+}
+
 _CODE = np.zeros(256, np.uint8)
 _CODE[48:58] = np.arange(48, 58)
 _CODE[97:123] = np.arange(97, 123)
@@ -69,6 +102,11 @@ _VALUE = random_words(256, 21)
 _POWER = random_words(GRAM, 22)
 
 
+def _letters(text: str) -> np.ndarray:
+    code = _CODE[np.frombuffer(text.encode(), np.uint8)]
+    return code[code > 0]
+
+
 def gram_hashes(letters: np.ndarray) -> np.ndarray:
     if len(letters) < GRAM:
         return np.zeros(0, np.uint64)
@@ -97,14 +135,14 @@ class Index:
     template: np.ndarray
     place: np.ndarray
     maybe: np.ndarray  # by the low 16 bits
+    exact: tuple[tuple[bytes, ...], ...]  # letters of names and versions
 
 
 def build_index(templates: Mapping[str, str] = TEMPLATES) -> Index:
     names = tuple(templates)
     letters = []
     for name in names:
-        code = _CODE[np.frombuffer(templates[name].encode(), np.uint8)]
-        letters.append(code[code > 0])
+        letters.append(_letters(templates[name]))
     grams = [gram_hashes(x) for x in letters]
     kept = [winnow(h) for h in grams]
     hashes = np.concatenate([h[k] for h, k in zip(grams, kept)])
@@ -119,6 +157,7 @@ def build_index(templates: Mapping[str, str] = TEMPLATES) -> Index:
         np.repeat(np.arange(len(names)), [len(k) for k in kept])[order],
         np.concatenate(kept)[order],
         maybe,
+        tuple(tuple(_letters(x).tobytes() for x in NAMES.get(name, ())) for name in names),
     )
 
 
@@ -185,6 +224,23 @@ def _candidates(index: Index, letters: np.ndarray, bounds: np.ndarray) -> Iterat
             yield int(row[a]), t, int(np.median(diagonal[a:b]))
 
 
+def _named(index: Index, t: int, raw: np.ndarray, places: np.ndarray, letters: np.ndarray) -> bool:
+    """Whether the template's names and versions stand in the matched text, as whole words."""
+    text = letters.tobytes()
+    for name in index.exact[t]:
+        at = text.find(name)
+        while at >= 0:
+            before, after = int(places[at]) - 1, int(places[at + len(name) - 1]) + 1
+            follows = raw[after : after + 2]
+            version = name[-1:].isdigit() and len(follows) == 2 and follows[0] == 46 and 48 <= follows[1] <= 57
+            if not (before >= 0 and _CODE[raw[before]]) and not (len(follows) and _CODE[follows[0]]) and not version:
+                break
+            at = text.find(name, at + 1)
+        else:
+            return False
+    return True
+
+
 def find(index: Index, raw: np.ndarray, starts: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
     """(start, end, license, coverage) of every row, in code points."""
     base = starts[0]
@@ -197,9 +253,11 @@ def find(index: Index, raw: np.ndarray, starts: np.ndarray) -> list[list[tuple[i
         own = letters[bounds[row] : bounds[row + 1]]
         matched, first, end = align(index.letters[t], own, diagonal)
         coverage = matched / len(index.letters[t])
-        if coverage >= COVERAGE and end > first:
-            places = kept[bounds[row] + np.array([first, end - 1])] + base
-            found[row].append((matched, coverage, t, int(places[0]), int(places[1]) + 1))
+        if coverage >= COVERAGE and end > first and matched >= COVERAGE * (end - first):
+            places = kept[bounds[row] + first : bounds[row] + end] + base
+            inside = places - starts[row]
+            if _named(index, t, raw[starts[row] : starts[row + 1]], inside, own[first:end]):
+                found[row].append((matched, coverage, t, int(places[0]), int(places[-1]) + 1))
     out = []
     for row, matches in enumerate(found):
         chosen: list[tuple] = []

@@ -196,6 +196,22 @@ def test_licenses_are_found_where_they_are(spark, texts):
         assert (rows[i].n_matches > 0) == ("icense" in text)
 
 
+def test_licenses_of_a_similar_name(spark):
+    given = {
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+        "Released under the ISC License.": "ISC-statement",
+        "Released under the XYZ License.": "",
+        "Licensed under CC BY-XX 4.0.": "",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under the GNU General Public License, version 2.1.": "",
+        "Licensed under the Apache License, Version 1.1.": "",
+    } | {text: name for name, text in licenses.TEMPLATES.items()}
+    rows = {r.doc_id: r.licenses for r in licenses.scan(documents(spark, list(given))).collect()}
+    assert [rows[i] for i in range(len(given))] == list(given.values())
+
+
 def test_language_on_held_out_documents(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     rows = queries.op7_language(spark, medium).join(docs.select("doc_id", "lang"), "doc_id").collect()
