@@ -7,7 +7,8 @@ text's hashes are looked up in it. Hits of one template on nearly one diagonal (
 minus template place) are a candidate, unless too few of the template's fingerprints are
 hit. A local alignment in a band around the diagonal then tells which part of the template
 is matched where; ``COVERAGE`` of it must be, and of the text between the match's ends, and
-``NAMES`` of licences and versions must stand in it letter by letter. Of overlapping matches the one with more
+``NAMES`` of licences and versions must stand in it letter by letter. Where a template
+follows itself, each repetition is aligned on its own. Of overlapping matches the one with more
 matched characters stays, then the higher coverage, then the first id.
 
 Templates are few and part of the program; every text is read whole, in bounded steps.
@@ -199,8 +200,12 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return matched, max(first, 0), min(end, len(text))
 
 
-def _candidates(index: Index, letters: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(row, template, diagonal within the row) of hits close to one diagonal."""
+def _candidates(index: Index, letters: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, template, diagonal within the row, end) of hits close to one diagonal.
+
+    Hits that spread by half the template are of its next repetition. The end is where in the
+    row a later repetition begins, as copies are at least about the template's length apart.
+    """
     hashes = gram_hashes(letters)
     at = np.flatnonzero(index.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
     low = np.searchsorted(index.hashes, hashes[at])
@@ -216,12 +221,21 @@ def _candidates(index: Index, letters: np.ndarray, bounds: np.ndarray) -> Iterat
     order = np.lexsort((diagonal, template, row))
     row, template, diagonal, place = row[order], template[order], diagonal[order], index.place[entry][order]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND // 2)
+    new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1])
     firsts = np.append(np.flatnonzero(new), len(row))
     for a, b in zip(firsts[:-1], firsts[1:]):
-        t = int(template[a])
-        if len(np.unique(place[a:b])) >= max(1, FINGERPRINTS * index.prints[t]):
-            yield int(row[a]), t, int(np.median(diagonal[a:b]))
+        t, own = int(template[a]), diagonal[a:b]
+        size = len(index.letters[t])
+        cuts = [0]
+        for k in range(1, b - a):
+            if own[k] - own[k - 1] > BAND // 2 or own[k] - own[cuts[-1]] > min(BAND, size // 2):
+                cuts.append(k)
+        for c, d in zip(cuts, [*cuts[1:], int(b - a)]):
+            if len(np.unique(place[a + c : a + d])) >= max(1, FINGERPRINTS * index.prints[t]):
+                middle = int(np.median(own[c:d]))
+                later = int(np.searchsorted(own, middle + 3 * size // 4, side="right"))
+                end = int(own[later]) + size // 10 if later < len(own) else int(bounds[row[a] + 1] - bounds[row[a]])
+                yield int(row[a]), t, middle, end
 
 
 def _named(index: Index, t: int, raw: np.ndarray, places: np.ndarray, letters: np.ndarray) -> bool:
@@ -249,15 +263,20 @@ def find(index: Index, raw: np.ndarray, starts: np.ndarray) -> list[list[tuple[i
     bounds = np.searchsorted(kept, starts - base)
     letters = code[kept]
     found: list[list[tuple]] = [[] for _ in range(len(starts) - 1)]
-    for row, t, diagonal in _candidates(index, letters, bounds):
+    last = (-1, -1, 0)
+    for row, t, diagonal, stop in _candidates(index, letters, bounds):
         own = letters[bounds[row] : bounds[row + 1]]
-        matched, first, end = align(index.letters[t], own, diagonal)
+        # A repetition is aligned behind the one found before.
+        start = last[2] if last[:2] == (row, t) else 0
+        matched, first, end = align(index.letters[t], own[start:stop], diagonal - start)
+        first, end = first + start, end + start
         coverage = matched / len(index.letters[t])
         if coverage >= COVERAGE and end > first and matched >= COVERAGE * (end - first):
             places = kept[bounds[row] + first : bounds[row] + end] + base
             inside = places - starts[row]
             if _named(index, t, raw[starts[row] : starts[row + 1]], inside, own[first:end]):
                 found[row].append((matched, coverage, t, int(places[0]), int(places[-1]) + 1))
+                last = (row, t, end)
     out = []
     for row, matches in enumerate(found):
         chosen: list[tuple] = []

@@ -212,6 +212,19 @@ def test_licenses_of_a_similar_name(spark):
     assert [rows[i] for i in range(len(given))] == list(given.values())
 
 
+@pytest.mark.parametrize("between", ["\n", " ", " 1) ", " and also "])
+def test_licenses_repeated_back_to_back(spark, between):
+    given, wanted = [], []
+    for name, text in licenses.TEMPLATES.items():
+        given.append(between.join([text] * 7))
+        step = len(text) + len(between)
+        wanted.append([(name, k * step) for k in range(7)])
+    rows = {r.doc_id: r for r in licenses.scan(documents(spark, given)).collect()}
+    for i, spans in enumerate(wanted):
+        found = [s.split(":") for s in rows[i].spans.split(",")]
+        assert [(s[0], int(s[1])) for s in found] == spans
+
+
 def test_language_on_held_out_documents(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     rows = queries.op7_language(spark, medium).join(docs.select("doc_id", "lang"), "doc_id").collect()
