@@ -67,19 +67,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def trigrams(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bin of the trigram at every byte; BINS where a document ends or only spaces are."""
-    text = LETTERS[raw]
-    x = text.astype(np.uint32)
-    code = np.full(len(x), BINS, np.int64)
-    if len(x) > 2:
-        key = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-        blank = key == 0x202020
-        key = (key * np.uint32(2654435761)) >> np.uint32(16)
-        code[:-2] = np.where(blank, BINS, key)
+    """Bin of the trigram at every byte, with spaces behind each document; BINS where only spaces are."""
+    x = LETTERS[raw].astype(np.uint32)
+    second = np.append(x[1:], np.uint32(32))[: len(x)]
+    third = np.append(x[2:], np.full(2, 32, np.uint32))[: len(x)]
     for back in (1, 2):
         last = starts[1:] - starts[0] - back
-        code[last[last >= starts[:-1] - starts[0]]] = BINS
-    return code
+        last = last[last >= starts[:-1] - starts[0]]
+        third[last] = 32
+        if back == 1:
+            second[last] = 32
+    key = (x << np.uint32(16)) | (second << np.uint32(8)) | third
+    blank = key == 0x202020
+    key = (key * np.uint32(2654435761)) >> np.uint32(16)
+    return np.where(blank, BINS, key.astype(np.int64))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

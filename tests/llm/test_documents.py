@@ -244,6 +244,14 @@ def test_language_of_a_mixed_document(spark, medium):
     assert rows[1].lang_pred == "und" and rows[1].score == 0
 
 
+def test_language_of_short_texts(spark, medium):
+    model = language.fit(spark.read.parquet(f"{medium}/documents.parquet"))
+    given = ["I", "ok", "ß", "a b", "1", " ", ""]
+    rows = {r.doc_id: r for r in language.identify(documents(spark, given), model).collect()}
+    assert all(rows[i].lang_pred in model.languages and rows[i].score > 0 for i in range(4))
+    assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in range(4, 7))
+
+
 def plain_repeats(rows):
     seen, out = {}, {}
     for doc, text in sorted(rows):
