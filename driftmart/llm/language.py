@@ -243,13 +243,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     )
 
 
-def readable(docs: DataFrame, model: LanguageModel, least_share: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known and makes up at least ``least_share`` of the text."""
+def readable(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` whose language is known, mixtures of known languages included."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores, _ = _predict(model, batch.column("text"))
-            fine = np.array([x != UNKNOWN for x in labels], bool) & (scores >= least_share)
+            labels, _, _ = _predict(model, batch.column("text"))
+            fine = np.array([x != UNKNOWN for x in labels], bool)
             yield batch.filter(pa.array(fine))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -252,6 +252,17 @@ def test_language_of_short_texts(spark, medium):
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in range(4, 7))
 
 
+def test_readable_keeps_mixtures_of_known_languages(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    model = language.fit(docs)
+    parts = {r.lang: r.text for r in docs.where("n_chars > 3000 AND NOT contains(text, '#')").collect()}
+    three = sorted(parts)[:3]
+    given = [" ".join(parts[x][:n] for x, n in zip(three, (1200, 900, 900))), "123 456", None]
+    score = language.identify(documents(spark, given), model).where("doc_id = 0").first().score
+    assert 0 < score < 0.5
+    assert [r.doc_id for r in language.readable(documents(spark, given), model).collect()] == [0]
+
+
 def plain_repeats(rows):
     seen, out = {}, {}
     for doc, text in sorted(rows):
