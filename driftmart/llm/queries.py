@@ -17,6 +17,7 @@ from driftmart.llm import (
     pieces,
     pii,
     repeats,
+    resampling,
     secret_links,
 )
 from driftmart.llm.common import table
@@ -64,6 +65,11 @@ def op10_inner_products(spark: SparkSession, folder: str) -> DataFrame:
     return inner_product.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_sentencepiece": op2_sentencepiece,
@@ -75,10 +81,12 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_inner_products": op10_inner_products,
+    "op11_resample": op11_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op5_secret_links": secret_links.ORACLE,
     "op10_inner_products": inner_product.ORACLE,
+    "op11_resample": resampling.ORACLE,
 }
