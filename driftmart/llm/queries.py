@@ -14,6 +14,7 @@ from driftmart.llm import (
     mixing,
     near_dups,
     neighbours,
+    packing,
     pieces,
     pii,
     repeats,
@@ -70,6 +71,12 @@ def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_pack(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"))
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "piece", "start", "length", digest, "sequence_id", "offset")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_sentencepiece": op2_sentencepiece,
@@ -82,6 +89,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_inner_products": op10_inner_products,
     "op11_resample": op11_resample,
+    "op13_pack": op13_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {
