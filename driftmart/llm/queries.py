@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmart.llm import (
+    collocations,
     inner_product,
     language,
     licenses,
@@ -71,6 +72,10 @@ def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_pack(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"))
     digest = F.crc32("ids").alias("ids_crc32")
@@ -89,6 +94,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_inner_products": op10_inner_products,
     "op11_resample": op11_resample,
+    "op12_collocations": op12_collocations,
     "op13_pack": op13_pack,
 }
 
@@ -97,4 +103,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_secret_links": secret_links.ORACLE,
     "op10_inner_products": inner_product.ORACLE,
     "op11_resample": resampling.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from driftmart.llm.common import STEP_BYTES, ranges
+from driftmart.llm.common import STEP_BYTES, mix64, random_words, ranges
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -143,3 +143,29 @@ def crc_of_words_and_pairs(
         pair = np.append(pair, np.uint32(zlib.crc32(word, carry[1])))
         pair_row = np.append(pair_row, row[0])
     return crc, pair, pair_row, (int(row[-1]), int(with_space[-1]))
+
+
+class WordHash:
+    """64-bit hashes of words; different seeds give independent ones."""
+
+    def __init__(self, seed: int):
+        self.byte = random_words(256, seed)
+        self.base = random_words(1, seed + 1)[0]
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, count: int) -> None:
+        def powers(base: int) -> np.ndarray:
+            factors = np.full(count, base, np.uint64)
+            factors[0] = 1
+            return np.cumprod(factors, dtype=np.uint64)
+
+        self.powers = powers(int(self.base))
+        self.inverse = powers(pow(int(self.base), -1, 1 << 64))
+
+    def __call__(self, text: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        if len(text) > len(self.powers):
+            self._grow(max(len(text), STEP_BYTES))
+        upto = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(self.byte[text] * self.powers[: len(text)], out=upto[1:])
+        value = (upto[first + length] - upto[first]) * self.inverse[first]
+        return mix64(value + length.astype(np.uint64))
