@@ -13,13 +13,13 @@ from driftmart.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     assert compare(queries.REGISTRY[name](spark, small), con, queries.ORACLE_SQL[name]) is None
 
 
 def test_every_operator_is_registered():
-    assert [k.split("_")[0] for k in queries.REGISTRY] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.REGISTRY] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_pipeline_stages(spark, small):
