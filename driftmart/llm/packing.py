@@ -15,9 +15,9 @@
    are more tasks than ``MOST_TASKS``.
 
 Ids are those of the ``tokenizers`` library; strings of special tokens in a text are ordinary
-text. Texts are split before white space that follows something else, where the vocabulary's
-own splitting always ends a word, so each distinct part is tokenised once per worker; texts
-of any length are so worked on in parts, except for a single word without spaces.
+text. Texts are split where the vocabulary's own splitting always ends a word, so a distinct
+part is tokenised once as long as a worker remembers it; texts of any length are worked on in
+parts, except for a single word without spaces.
 
 Style: Arrow batches for the tokens and for looking up the plan, DataFrame jobs for the rest.
 
@@ -32,7 +32,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,17 +47,24 @@ TOKENIZER = "byte_bpe_50k.json"
 # Cells of the grid on which patterns are fitted, and documents of a pattern at most.
 CELLS = 128
 DOCUMENTS = 3
-# Text parts a worker remembers, characters of texts tokenised together.
-REMEMBERED = 300_000
+# Text parts a worker remembers, twice; longer ones are not remembered.
+REMEMBERED = 400_000
 LONG_PART = 100
-GROUP_CHARS = 1 << 20
-GROUP_IDS = 1 << 20
+# Characters of a long text that are encoded together, ids of pieces that leave a task together.
+STEP_CHARS = 1 << 20
+STEP_IDS = 1 << 20
 # Tasks up to which their offsets, one number per length, are broadcast: 64 MB.
 MOST_TASKS = 4_096
 
-# A part ends before ASCII white space that follows something else. Rarer white space stays
-# inside a part, as libraries differ on which characters count.
-_PART = re.compile(r"\s*\S+(?:[^\S \t-\r]\s*\S*)*|\s+")
+# A plain part is a word of Latin letters with the space before it, which is one word to the
+# vocabulary, too, unless other letters follow. All other parts end before ASCII white space that
+# follows something else; rarer white space stays inside, as libraries differ on what counts.
+_PART = re.compile(
+    r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++(?![^\x00-\x7F])"
+    r"|\s*\S+(?:[^\S \t-\r]\s*\S*)*|\s+"
+)
+_LATIN_END = "\u024f"
+_SPLIT = re.compile(r"(?<=\S)[ \t-\r]")
 
 
 def default_tokenizer() -> str:
@@ -67,31 +73,55 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class Encoder:
-    """Texts to little-endian 32-bit ids, remembering the parts seen last."""
+class Encoder(dict):
+    """Texts to little-endian 32-bit ids; a dictionary of the ids of the parts seen last.
+
+    A plain part is one word to the vocabulary, so the library's model encodes it directly.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return {part: np.array(x.ids, "<u4").tobytes() for part, x in zip(parts, found)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PART.findall(x) for x in texts]
-        unknown = list(set(chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known = {}
-            unknown = list(set(chain.from_iterable(split)))
-        own = self._learn(unknown)
-        self.known.update((k, v) for k, v in own.items() if len(k) <= LONG_PART)
-        own = {k: v for k, v in own.items() if len(k) > LONG_PART}
-        ids = self.known if not own else {**self.known, **own}
-        return [b"".join(map(ids.__getitem__, parts)) for parts in split]
+        self.model = self.tokenizer.model
+        # The character that stands for each byte, as the library's own splitter writes it.
+        one = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = "".join(map(chr, range(256)))
+        written = one.pre_tokenize_str(letters)[0][0]
+        self.symbol = {ord("\u0120"): "\u0120"}
+        place = 0
+        for code, letter in enumerate(letters):
+            raw = letter.encode()
+            for byte, symbol in zip(raw, written[place : place + len(raw)]):
+                self.symbol[byte] = symbol
+            place += len(raw)
+
+    def _tokenise(self, part: str) -> bytes:
+        word = part[1:] if part[0] == " " else part
+        if word.isalpha() and max(word) <= _LATIN_END:
+            symbols = part.encode().decode("latin-1").translate(self.symbol)
+            ids = [x.id for x in self.model.tokenize(symbols)]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self._tokenise(part)
+        if len(part) <= LONG_PART:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join([b"".join(map(self.__getitem__, _PART.findall(part))) for part in cut_text(text)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -103,22 +133,11 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    first, total = 0, 0
-    for i, size in enumerate(sizes):
-        total += size
-        if total >= GROUP_CHARS:
-            yield first, i + 1
-            first, total = i + 1, 0
-    if first < len(sizes):
-        yield first, len(sizes)
-
-
-def _cut_text(text: str) -> list[str]:
-    """A long text in parts of about ``GROUP_CHARS``, cut where the encoder splits anyway."""
+def cut_text(text: str) -> list[str]:
+    """A long text in parts of about ``STEP_CHARS``, cut where the encoder splits anyway."""
     out, begin = [], 0
-    while len(text) - begin > GROUP_CHARS:
-        place = re.compile(r"(?<=\S)[ \t-\r]").search(text, begin + GROUP_CHARS)
+    while len(text) - begin > STEP_CHARS:
+        place = _SPLIT.search(text, begin + STEP_CHARS)
         if place is None:
             break
         out.append(text[begin : place.start()])
@@ -138,7 +157,6 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None =
         encoder = _encoder(path)
         made = np.zeros(length + 1, np.int64)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
             rows: list[tuple[int, int, int, int, bytes, int]] = []
             held = 0
 
@@ -156,25 +174,19 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None =
                 ]
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
-            for first, end in _groups([len(x) for x in texts]):
-                group = texts[first:end]
-                if len(group) == 1:
-                    encoded = [b"".join(chain.from_iterable(encoder.encode([x]) for x in _cut_text(group[0])))]
-                else:
-                    encoded = encoder.encode(group)
-                for row, ids in enumerate(encoded, first):
-                    ids += separator
-                    total = len(ids) // 4
-                    size, start, piece = total % length or length, 0, 0
-                    while start < total:
-                        rows.append((row, piece, start, size, ids[4 * start : 4 * (start + size)], int(made[size])))
-                        made[size] += 1
-                        start, piece, size = start + size, piece + 1, length
-                    held += total
-                    if held >= GROUP_IDS:
-                        yield batch_of()
-                        rows.clear()
-                        held = 0
+            for row, text in enumerate(batch.column("text")):
+                ids = encoder.encode(text.as_py() or "") + separator
+                total = len(ids) // 4
+                size, start, piece = total % length or length, 0, 0
+                while start < total:
+                    rows.append((row, piece, start, size, ids[4 * start : 4 * (start + size)], int(made[size])))
+                    made[size] += 1
+                    start, piece, size = start + size, piece + 1, length
+                held += total
+                if held >= STEP_IDS:
+                    yield batch_of()
+                    rows.clear()
+                    held = 0
             if rows:
                 yield batch_of()
 
@@ -379,16 +391,18 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
 
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    per_task = offsets.groupBy(F.col("task").alias("_task")).agg(
-        F.sort_array(F.collect_list(F.struct("length", "before"))).alias("_known")
-    )
-    # A dense array per task, so that a look-up does not search.
-    known = F.map_from_entries("_known")
-    slots = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(length).cast("long")),
-        lambda k: F.coalesce(F.try_element_at(known, k), F.lit(0).cast("long")),
-    )
-    per_task = saved(per_task.select("_task", slots.alias("_before")), "pack-offsets")
+    @F.pandas_udf("array<long>")
+    def dense(lengths: pd.Series, values: pd.Series) -> pd.Series:
+        rows = []
+        for at, value in zip(lengths, values):
+            row = np.zeros(length + 1, np.int64)
+            row[at] = value
+            rows.append(row)
+        return pd.Series(rows)
+
+    # An array over all lengths per task, so that a look-up does not search.
+    known = offsets.groupBy(F.col("task").alias("_task")).agg(F.collect_list(F.struct("length", "before")).alias("known"))
+    per_task = saved(known.select("_task", dense("known.length", "known.before").alias("_before")), "pack-offsets")
     if per_task.count() <= MOST_TASKS:
         per_task = F.broadcast(per_task)
 
