@@ -145,18 +145,18 @@ def test_ngrams_across_steps_and_flushes(monkeypatch, flush):
         pa.RecordBatch.from_arrays([pa.array(texts[k : k + 20]), pa.array(langs[k : k + 20])], names=["text", "lang"])
         for k in range(0, len(texts), 20)
     ]
-    totals, found = {}, Counter()
-    for run, starts in collocations.task_words(iter(batches), checked=True, totals=totals):
+    names, totals, found = [], {}, Counter()
+    for run, starts in collocations.task_words(iter(batches), names, True, totals):
         for size, places, hashed in run.orders():
             for at, value in zip(places[places < starts], hashed[places < starts]):
                 phrase = b" ".join(run.word(i) for i in range(at, at + size)).decode()
-                found[int(run.seeds[at]), phrase, int(value)] += 1
+                found[names[run.langs[at]], phrase, int(value)] += 1
     wanted, words_of = Counter(), Counter()
     for text, lang in zip(texts, langs):
         for w in _pieces(text):
             words_of[lang] += len(w)
             for size in range(1, 6):
-                wanted.update((collocations.language_seed(lang), " ".join(w[i : i + size])) for i in range(len(w) - size + 1))
+                wanted.update((lang, " ".join(w[i : i + size])) for i in range(len(w) - size + 1))
     assert Counter({k[:2]: n for k, n in found.items()}) == wanted
     assert len({k[2] for k in found}) == len(wanted)
     assert {k: n for k, n in totals.items() if n} == dict(words_of)
