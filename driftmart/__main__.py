@@ -30,7 +30,7 @@ def main() -> None:
     print("reconciliation")
     pipeline.verify(spark, saved[pipeline.MONITORING], tables).show()
     pipeline.mismatches(spark, saved[pipeline.MONITORING], tables)["mismatches_by_column"].show(100)
-    for name, result in pipeline.model(saved[pipeline.ML_READY]).items():
+    for name, result in pipeline.model(saved[pipeline.ML_READY], target=args.target).items():
         print(name)
         result.show()
 

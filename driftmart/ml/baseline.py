@@ -4,25 +4,22 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from datetime import date
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmart.functions.expressions import name
+from driftmart.ml import newton
 from driftmart.session import shared_folder
 from driftmart.spec import STATION, MonitoringSpec
 
-# Target, share of months used for training, iterations, inverse penalty.
+# Target, share of months used for training, inverse penalty.
 TARGET = "has_events_next_month"
 TRAIN_SHARE = 0.8
-MAX_ITERATIONS = 1000
 INVERSE_PENALTY = 1.0
 
-# Relative change of the loss at which a fit stops. At 1e-6 some gradients are still a fifth
-# of their start, at 1e-10 rounding keeps the optimiser from stopping at all.
-TOLERANCE = 1e-8
 # Training rows a task holds: fewer tasks per pass, as a fit makes many passes.
 ROWS_PER_TASK = 200_000
 
@@ -78,35 +75,69 @@ def split_summary(split_cases: DataFrame, spec: MonitoringSpec = STATION) -> Dat
 
 
 @dataclass(frozen=True)
-class Baseline:
-    """A fitted model with the table it was fitted on."""
+class Model:
+    """A logistic model as numbers; scoring is one SQL expression, so rows are not converted."""
 
-    model: LogisticRegressionModel
     features: tuple[str, ...]
+    coefficients: tuple[float, ...]
+    intercept: float
     target: str
+    last_training_month: date
+    passes: int
+
+    def transformer(self) -> SQLTransformer:
+        """Adds ``probability`` and ``prediction``; both are NULL where a feature is."""
+        eta = newton.linear(self.features, self.coefficients, self.intercept)
+        scores = f"SELECT *, 1 / (1 + exp(-({eta}))) AS probability FROM __THIS__"
+        return SQLTransformer(statement=f"SELECT *, cast(probability > 0.5 AS int) AS prediction FROM ({scores})")
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return self.transformer().transform(rows).select(*map(name, rows.columns), "prediction", "probability")
+
+    def save(self, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
+        """The scoring stage by Spark ML's writer, the numbers behind it as a one-row table."""
+        writer = self.transformer().write()
+        (writer.overwrite() if mode == "overwrite" else writer).save(f"{path.rstrip('/')}/scoring")
+        row = (*(list(v) if isinstance(v, tuple) else v for v in vars(self).values()),)
+        spark.createDataFrame([row], MODEL_SCHEMA).coalesce(1).write.mode(mode).parquet(f"{path.rstrip('/')}/numbers")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        row = spark.read.schema(MODEL_SCHEMA).parquet(f"{path.rstrip('/')}/numbers").first()
+        return cls(*(tuple(v) if isinstance(v, list) else v for v in row))
+
+
+MODEL_SCHEMA = (
+    "features array<string>, coefficients array<double>, intercept double, target string,"
+    " last_training_month date, passes int"
+)
+
+
+@dataclass(frozen=True)
+class Baseline:
+    """A fitted model with the table it was fitted on."""
+
+    model: Model
     split_cases: DataFrame
-    iterations: int
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return self.model.features
+
+    @property
+    def target(self) -> str:
+        return self.model.target
 
     def coefficients(self) -> dict[str, float]:
-        return dict(zip(self.features, self.model.coefficients.toArray().tolist()))
+        return dict(zip(self.model.features, self.model.coefficients))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        assembled = _assembler(self.features).transform(rows)
-        scored = self.model.transform(assembled)
-        return scored.select(
-            *rows.columns,
-            F.col("prediction").cast("int").alias("prediction"),
-            vector_to_array("probability")[1].alias("probability"),
-        )
+        return self.model.predict(rows)
 
     def test_predictions(self) -> DataFrame:
         return self.predict(self.split_cases.where("split = 'test'").drop("split"))
 
 
-def _assembler(features: tuple[str, ...]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-
-
 def fit_baseline(
     ml_table: DataFrame,
     target: str = TARGET,
@@ -116,11 +147,10 @@ def fit_baseline(
 ) -> Baseline:
     """Split by time and fit an L2 logistic regression with balanced class weights.
 
-    The objective is ``sum(weight * log-loss) / C + |coefficients|^2 / 2`` with a
-    free intercept; Spark divides the loss by the total weight, which balancing
-    makes equal to the number of training rows, so the penalty is ``1 / (C * n)``.
+    The objective is ``sum(weight * log-loss) + |coefficients|^2 / (2 C)`` with a free
+    intercept, minimised by Newton steps (see ``newton``).
 
-    Fitting reads the rows many times, so they come from saved ``cases`` (see
+    Fitting reads the rows once per step, so they come from saved ``cases`` (see
     ``saved_cases``, the default). One job brings the class counts per month, as many rows
     as the calendar has months, to the driver: cut-off and weights follow from them.
     """
@@ -138,25 +168,15 @@ def fit_baseline(
     in_training = F.col(spec.period) <= F.lit(training_months[-1][0])
     split_cases = cases.withColumn("split", F.when(in_training, "train").otherwise("test"))
     train = cases.where(in_training).coalesce(-(-size // ROWS_PER_TASK))
-    weight = F.when(F.col(target) == 1, size / (2.0 * positives)).otherwise(
-        size / (2.0 * (size - positives))
-    )
-    training = _assembler(spec.model_features).transform(train).select(
-        "features", F.col(target).cast("double").alias("label"), weight.alias("weight")
+    weight = (
+        f"CASE WHEN {name(target)} = 1 THEN {size / (2.0 * positives)!r}D"
+        f" ELSE {size / (2.0 * (size - positives))!r}D END"
     )
-    regression = LogisticRegression(
-        maxIter=MAX_ITERATIONS,
-        tol=TOLERANCE,
-        regParam=1.0 / (INVERSE_PENALTY * size),
-        elasticNetParam=0.0,
-        standardization=False,
-        weightCol="weight",
+    found = newton.fit(train, spec.model_features, name(target), weight, 1 / INVERSE_PENALTY)
+    fitted = Model(
+        spec.model_features, found.coefficients, found.intercept, target, training_months[-1][0], found.passes
     )
-    model = regression.fit(training)
-    iterations = model.summary.totalIterations
-    if iterations >= MAX_ITERATIONS:
-        raise RuntimeError(f"the fit did not converge in {MAX_ITERATIONS} iterations")
-    return Baseline(model, spec.model_features, target, split_cases, iterations)
+    return Baseline(fitted, split_cases)
 
 
 def stationarity(fitted: Baseline) -> DataFrame:

@@ -16,6 +16,7 @@ from driftmart.spec import STATION, STATION_MODE, MonitoringSpec
 
 MONITORING, ML_READY = "monitoring", "ml_ready"
 SUMS, EVENT_MONTHS = "monthly_sums", "event_months"
+CASES, MODEL, PREDICTIONS = "model_cases", "model", "predictions"
 
 
 def build(
@@ -59,10 +60,25 @@ def build(
     return saved
 
 
-def model(ml_ready: DataFrame, spec: MonitoringSpec = STATION) -> dict[str, DataFrame]:
-    """Fit the baseline on a saved model table: split, predictions and scores of the test months."""
-    fitted = baseline.fit_baseline(ml_ready, spec=spec, cases=baseline.complete_cases(ml_ready, spec=spec))
+def model(
+    ml_ready: DataFrame, spec: MonitoringSpec = STATION, target: str | None = None, mode: str = "errorifexists"
+) -> dict[str, DataFrame]:
+    """Fit the baseline once on a saved model table: split, predictions and scores of the test months.
+
+    With ``target`` the model and the predictions are saved there, and the scores read the
+    saved predictions; ``score`` applies the saved model to other rows.
+    """
+    cases = baseline.complete_cases(ml_ready, spec=spec)
+    if target is not None:
+        folder = target.rstrip("/")
+        files.write_parquet(cases, f"{folder}/{CASES}", cluster_by=(spec.period,), mode=mode)
+        cases = ml_ready.sparkSession.read.parquet(f"{folder}/{CASES}")
+    fitted = baseline.fit_baseline(ml_ready, spec=spec, cases=cases)
     predictions = fitted.test_predictions()
+    if target is not None:
+        fitted.model.save(ml_ready.sparkSession, f"{folder}/{MODEL}", mode)
+        files.write_parquet(predictions, f"{folder}/{PREDICTIONS}", cluster_by=spec.series_keys, mode=mode)
+        predictions = ml_ready.sparkSession.read.parquet(f"{folder}/{PREDICTIONS}")
     return {
         "split_summary": baseline.split_summary(fitted.split_cases, spec),
         "predictions": predictions,
@@ -71,6 +87,11 @@ def model(ml_ready: DataFrame, spec: MonitoringSpec = STATION) -> dict[str, Data
     }
 
 
+def score(spark: SparkSession, target: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of a model table with prediction and probability of the model saved under ``target``."""
+    return baseline.Model.load(spark, f"{target.rstrip('/')}/{MODEL}").predict(rows)
+
+
 def reports(monitoring: DataFrame, spec: MonitoringSpec = STATION_MODE) -> dict[str, DataFrame]:
     """The analysis and diagnostic tables of a saved mart."""
     return {

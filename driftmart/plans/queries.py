@@ -458,8 +458,8 @@ def ml_test_truth(spark, folder):
 
 @query
 def ml_fit_check(spark, folder):
-    """Per feature, whether the fit brought the gradient of the loss below a tenth of its start."""
+    """Per feature, whether the fit brought the gradient of the loss below a millionth of its start."""
     gradients = baseline.stationarity(_fitted(spark, folder))
     return gradients.select(
-        "feature", (F.abs("gradient") <= 0.1 * F.abs("gradient_at_zero")).alias("is_stationary")
+        "feature", (F.abs("gradient") <= 1e-6 * F.abs("gradient_at_zero")).alias("is_stationary")
     )
