@@ -365,6 +365,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "reconcile_by_column": _by_column(),
         "ml_ready": _ml("SELECT * FROM ml_ready"),
+        "mart_kept_up": _mart("SELECT * FROM mart"),
+        "ml_ready_kept_up": _ml("SELECT * FROM ml_ready"),
         "ml_complete_cases": _ml(f"SELECT month_start, station_id, {features}, {TARGET} FROM cases", *SPLIT),
         "ml_time_split": _ml("SELECT month_start, station_id, split FROM split_cases", *SPLIT),
         "ml_split_summary": _ml(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftmart.ml import baseline
 from driftmart.operators import analysis, events, features, metrics, quality, reconcile, series, signals
-from driftmart.plans import mart, pipeline
+from driftmart.plans import mart, pipeline, upkeep
 from driftmart.session import shared_folder, tune
 from driftmart.sources import files, star
 from driftmart.sources.star import SPEC, STATION_SPEC
@@ -125,6 +125,30 @@ def parquet_ml_roundtrip(spark, folder):
     return files.read_parquet(spark, target)
 
 
+def _kept_up(spark, folder, table):
+    """Marts built without two months, which are then brought in one after the other."""
+    tables = {"measurements": star.measurements(spark, folder), "events": star.events(spark, folder)}
+    dates = {"measurements": SPEC.reading_date, "events": SPEC.event_date}
+    month = {name: F.trunc(column, "month") for name, column in dates.items()}
+    present = tables["measurements"].select(month["measurements"].alias("m")).distinct().orderBy("m").collect()
+    late = [present[len(present) // 2].m, present[-1].m]
+    target = shared_folder(spark, "upkeep")
+    upkeep.build({name: df.where(~month[name].isin(late)) for name, df in tables.items()}, target, SPEC)
+    for given in late:
+        upkeep.refresh(spark, target, tables, [given], SPEC)
+    return upkeep.read(spark, target, table, SPEC)
+
+
+@query
+def mart_kept_up(spark, folder):
+    return _kept_up(spark, folder, upkeep.MONITORING)
+
+
+@query
+def ml_ready_kept_up(spark, folder):
+    return _kept_up(spark, folder, upkeep.ML_READY)
+
+
 @query
 def grain_duplicates(spark, folder):
     """Readings that share station, date and mode with another reading."""
