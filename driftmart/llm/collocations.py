@@ -13,6 +13,7 @@ Phrases are runs of 1 to 5 words within a piece of text; all counting is per lan
    Survivors reach the tasks as a bit map over hashes with a fixed bound of size; a rare n-gram
    that meets a set bit is counted as well and dropped by its exact count. Within a task
    n-grams are one when two independent 64-bit hashes agree; between tasks, when words do.
+   Tasks add up what they hold and send it by hash partition, where the exact sums are made.
 3. *Scores.* Joins of the frequent n-grams with their parts, in exact decimal arithmetic.
 
 Style: Arrow batches for hashing, counting and summaries; DataFrame joins for the scores.
@@ -28,11 +29,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +51,14 @@ UNKNOWN = "und"
 _PIECE_END = byte_class(*[(ord(c), ord(c)) for c in ".,;:!?"], (0x0A, 0x0D))
 _BLANK = _PIECE_END | byte_class((0x20, 0x20), (0x09, 0x09))
 # Words that a task counts together.
-FLUSH_WORDS = 3_000_000
+FLUSH_WORDS = 1_000_000
 # N-gram occurrences aimed at per hash partition, and bounds of the partitions and of the bit map.
 PART_MASS = 1 << 23
 MOST_PARTS = 1 << 16
 BITS_PER_COUNTER = 16
 MOST_BITS = 28
+# Phrases that a task or a hash partition holds before it adds up equal ones.
+HELD_PHRASES = 500_000
 # Counters a summary takes in before it is cut to its capacity again.
 LEAST_BUFFER = 1 << 20
 
@@ -121,15 +126,19 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words in order: hashes, seed of the language, whether a piece begins, and where the bytes are."""
+    """Words in order: hashes, number of the language, whether a piece begins.
 
+    Only where words are to be read again: second hashes, and where their bytes are.
+    """
+
+    seeds: np.ndarray  # by number of the language
     hashes: np.ndarray
-    checks: np.ndarray
-    seeds: np.ndarray
+    langs: np.ndarray
     begins: np.ndarray
-    text: np.ndarray
+    checks: np.ndarray
     first: np.ndarray
     length: np.ndarray
+    text: np.ndarray
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -138,17 +147,19 @@ class Words:
         return self.text[self.first[i] : self.first[i] + self.length[i]].tobytes()
 
     def tail(self, begin: int) -> Words:
-        at = int(self.first[begin]) if begin < len(self) else len(self.text)
-        arrays = (x[begin:].copy() for x in (self.hashes, self.checks, self.seeds, self.begins))
-        return Words(*arrays, self.text[at:].copy(), self.first[begin:] - at, self.length[begin:].copy())
+        at = int(self.first[begin]) if begin < len(self.first) else len(self.text)
+        arrays = (x[begin:].copy() for x in (self.hashes, self.langs, self.begins, self.checks))
+        return Words(self.seeds, *arrays, self.first[begin:] - at, self.length[begin:].copy(), self.text[at:].copy())
 
     def orders(self, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(n, starts, hashes) for n = 1, 2, ..; from pairs on only where ``allowed`` for all pairs inside."""
         n = len(self)
-        places = np.arange(n)
-        next_begin = np.minimum.accumulate(np.where(np.append(self.begins, True), np.arange(n + 1), n)[::-1])[::-1]
-        ahead = next_begin[1:] - places
-        hashed = mix64(self.hashes ^ self.seeds)
+        places = np.arange(n + 1, dtype=np.int32)
+        next_begin = np.where(np.append(self.begins, True), places, np.int32(n))
+        next_begin = np.minimum.accumulate(next_begin[::-1])[::-1][1:]
+        places = places[:-1]
+        ahead = next_begin - places
+        hashed = mix64(self.hashes ^ self.seeds[self.langs])
         yield 1, places, hashed
         for size in range(2, WORDS + 1):
             going = ahead[places] >= size
@@ -164,29 +175,36 @@ def language_seed(lang: str) -> int:
 
 
 def task_words(
-    batches: Iterator[pa.RecordBatch], checked: bool = False, totals: dict[str, int] | None = None
+    batches: Iterator[pa.RecordBatch], names: list[str], checked: bool = False, totals: dict[str, int] | None = None
 ) -> Iterator[tuple[Words, int]]:
     """Runs of words, and how many of them are starts: the last few come again as starts of the next run.
 
-    ``totals`` collects words per language, ``checked`` asks for the second hashes.
+    ``names`` collects the languages, ``totals`` the words of each; ``checked`` asks for all fields.
     """
-    nothing = np.zeros(0, np.uint64)
-    kept = Words(nothing, nothing, nothing, nothing.astype(bool), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    parts, held = [kept], 0
+    none64, none8 = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    number: dict[str, int] = {}
+    seeds = none64
+    parts = [Words(seeds, none64, np.zeros(0, np.int32), none8.astype(bool), none64, np.zeros(0, np.int64), np.zeros(0, np.int64), none8)]
+    held = 0
 
     def joined() -> Words:
         at = np.cumsum([0, *(len(p.text) for p in parts)])
-        columns = zip(*[(p.hashes, p.checks, p.seeds, p.begins, p.text, p.first + a, p.length) for p, a in zip(parts, at)])
-        return Words(*map(np.concatenate, columns))
+        columns = [(p.hashes, p.langs, p.begins, p.checks, p.first + a, p.length, p.text) for p, a in zip(parts, at)]
+        parts.clear()
+        return Words(seeds, *map(np.concatenate, zip(*columns)))
 
     for batch in batches:
         raw, starts = string_bytes(batch.column("text"))
         langs = batch.column("lang").to_pylist()
-        seed_of = {lang: language_seed(lang) for lang in set(langs)}
-        seeds = np.array([seed_of[x] for x in langs], np.uint64)
+        for lang in set(langs) - number.keys():
+            number[lang] = len(names)
+            names.append(lang)
+        seeds = np.array([language_seed(x) for x in names], np.uint64)
+        lang_of = np.array([number[x] for x in langs], np.int32)
         row_before, broken = -1, True
         for text, first, length, row in word_steps(raw, starts, _BLANK):
-            ends = np.concatenate([[0], np.cumsum(_PIECE_END[text])])
+            ends = np.zeros(len(text) + 1, np.int32)
+            np.cumsum(_PIECE_END[text], out=ends[1:])
             if not len(first):
                 broken |= bool(ends[-1])
                 continue
@@ -195,29 +213,23 @@ def task_words(
             begins[0] = row[0] != row_before or broken or bool(ends[first[0]])
             row_before, broken = int(row[-1]), bool(ends[-1] != ends[first[-1] + length[-1]])
             if totals is not None:
-                per_row = np.bincount(row - row[0])
-                for k in np.flatnonzero(per_row):
-                    lang = langs[int(row[0] + k)]
-                    totals[lang] = totals.get(lang, 0) + int(per_row[k])
+                for k, n in enumerate(np.bincount(lang_of[row]).tolist()):
+                    if n:
+                        totals[names[k]] = totals.get(names[k], 0) + n
             hashes = _HASH(text, first, length)
-            checks = _CHECK(text, first, length) if checked else nothing
-            parts.append(Words(hashes, checks, seeds[row], begins, text if checked else text[:0], first, length))
+            own = (_CHECK(text, first, length), first, length, text) if checked else (none64, first[:0], length[:0], none8)
+            parts.append(Words(seeds, hashes, lang_of[row], begins, *own))
             held += len(first)
             if held >= FLUSH_WORDS:
                 words = joined()
                 starts_here = len(words) - (WORDS - 1)
-                yield words, starts_here
-                parts = [words.tail(starts_here) if checked else _without_text(words, starts_here)]
+                parts.append(words.tail(starts_here))
                 held = len(parts[0])
+                yield words, starts_here
     words = joined()
     yield words, len(words)
 
 
-def _without_text(words: Words, begin: int) -> Words:
-    arrays = (x[begin:].copy() for x in (words.hashes, words.checks, words.seeds, words.begins))
-    return Words(*arrays, words.text[:0], words.first[begin:].copy(), words.length[begin:].copy())
-
-
 @dataclass(frozen=True)
 class BitMap:
     """Set bits by the leading bits of a hash."""
@@ -257,10 +269,11 @@ def survivors(docs: DataFrame, low: int, high: int, parts: int, bits: int, least
                 [*columns, pa.array(masses, pa.int64()), pa.array(payloads, pa.binary())], names=fields
             )
 
-        for words, starts in task_words(batches):
+        for words, starts in task_words(batches, []):
             allowed = None if pairs is None else _pairs_allowed(words, pairs)
-            found = [h[p < starts] for n, p, h in words.orders(allowed) if low <= n <= high]
-            hashes = np.sort(np.concatenate(found))
+            hashes = np.concatenate([h[p < starts] for n, p, h in words.orders(allowed) if low <= n <= high])
+            del words
+            hashes.sort()
             if not len(hashes):
                 continue
             firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
@@ -317,49 +330,107 @@ def survivors(docs: DataFrame, low: int, high: int, parts: int, bits: int, least
 # ---- second pass: exact counts -------------------------------------------------
 
 
-def exact_counts(docs: DataFrame, short: BitMap, long: BitMap) -> DataFrame:
-    """lang, phrase, words, n per task for all n-grams in the bit maps; phrase NULL has all words of a language."""
-    fields = ["lang", "phrase", "words", "n"]
+def _added_up(tables: list[pa.Table]) -> pa.Table:
+    """One row per language and phrase."""
+    summed = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    return summed.rename_columns({"n_sum": "n"})
+
+
+def _phrases(words: Words, starts: int, names: list[str], short: BitMap, long: BitMap) -> pa.Table:
+    """lang, phrase, n of the n-grams of a run that the bit maps hold."""
+    langs, phrases, counts = [], [], []
+    for size, places, hashed in words.orders(_pairs_allowed(words, short)):
+        use = (places < starts) & (short if size <= 2 else long).holds(hashed)
+        places, hashed = places[use], hashed[use]
+        if not len(places):
+            continue
+        second = words.checks[places]
+        for k in range(1, size):
+            second = mix64(second * _MIX[1] + words.checks[places + k])
+        order = np.lexsort((second, hashed))
+        places, hashed, second = places[order], hashed[order], second[order]
+        firsts = np.flatnonzero(np.append(True, (hashed[1:] != hashed[:-1]) | (second[1:] != second[:-1])))
+        for at in places[firsts].tolist():
+            phrases.append(b" ".join([words.word(i) for i in range(at, at + size)]).decode())
+        langs.append(words.langs[places[firsts]])
+        counts.append(np.diff(np.append(firsts, len(places))))
+    which = np.concatenate(langs) if langs else np.zeros(0, np.int32)
+    return pa.table(
+        {
+            "lang": pa.array(names, pa.string()).take(pa.array(which)),
+            "phrase": pa.array(phrases, pa.string()),
+            "n": pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()),
+        }
+    )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, int] = {}
-        names: dict[int, str] = {}
-
-        def named(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in stream:
-                names.update((language_seed(x), x) for x in set(batch.column("lang").to_pylist()))
-                yield batch
-
-        for words, starts in task_words(named(batches), checked=True, totals=totals):
-            langs, phrases, sizes, counts = [], [], [], []
-            for size, places, hashed in words.orders(_pairs_allowed(words, short)):
-                use = (places < starts) & (short if size <= 2 else long).holds(hashed)
-                places, hashed = places[use], hashed[use]
-                if not len(places):
-                    continue
-                second = words.checks[places]
-                for k in range(1, size):
-                    second = mix64(second * _MIX[1] + words.checks[places + k])
-                order = np.lexsort((second, hashed))
-                places, hashed, second = places[order], hashed[order], second[order]
-                new = np.append(True, (hashed[1:] != hashed[:-1]) | (second[1:] != second[:-1]))
-                firsts = np.flatnonzero(new)
-                for at in places[firsts]:
-                    phrases.append(b" ".join([words.word(i) for i in range(at, at + size)]).decode())
-                    langs.append(names[int(words.seeds[at])])
-                sizes += [size] * len(firsts)
-                counts.append(np.diff(np.append(firsts, len(places))))
-            if phrases:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(counts), pa.int64())],
-                    names=fields,
-                )
+
+def exact_counts(docs: DataFrame, parts: int, least: int, short: BitMap, long: BitMap) -> DataFrame:
+    """lang, phrase, n of all n-grams that occur ``least`` times; the empty phrase counts a language's words.
+
+    A task sends its counts as arrays, one row per language and hash partition of the phrases.
+    """
+    fields = ["part", "lang", "phrases", "counts"]
+
+    def dealt(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        phrases, counts = (table.column(c).combine_chunks() for c in ("phrase", "n"))
+        code = table.column("lang").combine_chunks().dictionary_encode()
+        part = np.fromiter((zlib.crc32(x.encode()) for x in phrases.to_pylist()), np.int64, len(phrases)) % parts
+        lang = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((lang, part))
+        firsts = np.flatnonzero(np.append(True, (np.diff(part[order]) != 0) | (np.diff(lang[order]) != 0))[: len(order)])
+        ends, taken = pa.array(np.append(firsts, len(order)), pa.int32()), pa.array(order)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(totals.keys(), pa.string()), pa.array([None] * len(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array(totals.values(), pa.int64())],
+            [
+                pa.array(part[order[firsts]], pa.int32()),
+                code.dictionary.take(pa.array(lang[order[firsts]])),
+                pa.ListArray.from_arrays(ends, phrases.take(taken)),
+                pa.ListArray.from_arrays(ends, counts.take(taken)),
+            ],
             names=fields,
         )
 
-    return docs.mapInArrow(count, "lang string, phrase string, words int, n long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, int] = {}
+        names: list[str] = []
+        held: list[pa.Table] = []
+        for words, starts in task_words(batches, names, True, totals):
+            held.append(_phrases(words, starts, names, short, long))
+            del words
+            if sum(map(len, held)) > HELD_PHRASES:
+                held = [_added_up(held)]
+                if len(held[0]) > HELD_PHRASES // 2:
+                    yield from dealt(held.pop())
+        words_of = pa.table({"lang": pa.array(totals, pa.string()), "phrase": pa.array([""] * len(totals), pa.string()), "n": pa.array(totals.values(), pa.int64())})
+        yield from dealt(_added_up([*held, words_of]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            table = _added_up(held)
+            wanted = pc.or_(pc.greater_equal(table.column("n"), least), pc.equal(table.column("phrase"), ""))
+            yield from table.filter(wanted).combine_chunks().to_batches()
+
+        for batch in batches:
+            which = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and which[a] != part:
+                    if held:
+                        yield from done()
+                    part, held = which[a], []
+                rows = batch.slice(a, b - a)
+                phrases, counts = rows.column("phrases"), rows.column("counts")
+                lang = rows.column("lang").take(pc.list_parent_indices(phrases))
+                held.append(pa.table({"lang": lang, "phrase": phrases.flatten(), "n": counts.flatten()}))
+                if len(held) > 1 and sum(map(len, held)) > 2 * HELD_PHRASES + 2 * len(held[0]):
+                    held = [_added_up(held)]
+        if held:
+            yield from done()
+
+    counted = docs.mapInArrow(count, "part int, lang string, phrases array<string>, counts array<long>")
+    ordered = counted.repartition(parts, "part").sortWithinPartitions("part")
+    return ordered.mapInArrow(add, "lang string, phrase string, n long")
 
 
 def frequent_ngrams(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -374,15 +445,10 @@ def frequent_ngrams(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     bits = min(bits, MOST_BITS)
     short = survivors(rows, 1, 2, parts, bits, least, None)
     long = survivors(rows, 3, WORDS, parts, bits, least, short)
-    counted = saved(exact_counts(rows, short, long), "phrase-counts")
-    frequent = (
-        counted.where("phrase IS NOT NULL")
-        .groupBy("lang", "phrase", "words")
-        .agg(F.sum("n").alias("a"))
-        .where(F.col("a") >= least)
-    )
-    totals = counted.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    return saved(frequent, "phrases"), totals
+    counted = saved(exact_counts(rows, parts, least, short, long), "phrases")
+    totals = counted.where("phrase = ''").select("lang", "n")
+    frequent = counted.where("phrase != ''").select("lang", "phrase", F.col("n").alias("a"))
+    return frequent.withColumn("words", F.size(F.split("phrase", " "))), totals
 
 
 # ---- scores --------------------------------------------------------------------
