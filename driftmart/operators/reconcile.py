@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftmart.functions.expressions import name, named, same_value
 from driftmart.operators.analysis import value_counts
+from driftmart.session import shared_folder
 
 # Names of the comparison frame.
 LEFT_SUFFIX = "_pd"
@@ -120,3 +123,94 @@ def summary(frame: DataFrame) -> DataFrame:
         named(f"count_if({ORIGIN} = '{RIGHT_ONLY}')", "right_only_rows"),
         named(f"count_if({ORIGIN} = '{BOTH}' AND NOT ({equal}))", "mismatch_rows"),
     )
+
+
+# ---- in two phases ---------------------------------------------------------------
+
+
+def _digest(df: DataFrame, columns: Sequence[str], salt: int) -> str:
+    """64-bit digest of a row's values; numbers as doubles, so that their types need not agree.
+
+    What becomes equal by that is equal within the tolerance, too. Hashes skip NULL, so which
+    columns are NULL is part of the digest.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    values = [f"double({name(c)})" if isinstance(types[c], T.NumericType) else f"string({name(c)})" for c in columns]
+    return f"xxhash64({', '.join([f'{salt}L', *values, *[f'{name(c)} IS NULL' for c in columns]])})"
+
+
+def narrow_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str] | None = None,
+    never_null: Sequence[str] = (),
+) -> DataFrame:
+    """keys, ``merge_flag`` and ``differs``: the join moves keys and a 128-bit digest per row only."""
+    columns = shared_columns(left, right, keys) if columns is None else list(columns)
+
+    def side(df: DataFrame) -> DataFrame:
+        digests = [named(_digest(df, columns, salt), f"digest{salt}") for salt in (1, 2)]
+        return df.selectExpr(*map(name, keys), *digests)
+
+    frame = merged(side(left), side(right), keys, ("digest1", "digest2"), never_null=never_null)
+    same = " AND ".join(f"digest{k}{LEFT_SUFFIX} = digest{k}{RIGHT_SUFFIX}" for k in (1, 2))
+    return frame.selectExpr(*map(name, keys), ORIGIN, named(f"{ORIGIN} = '{BOTH}' AND NOT ({same})", "differs"))
+
+
+@dataclass(frozen=True)
+class Staged:
+    """A full comparison of two results, see ``staged``."""
+
+    pairs: DataFrame  # every key with its origin
+    detail: DataFrame  # the wide rows of both sides whose digests differ
+
+    def origins(self) -> DataFrame:
+        return origin_counts(self.pairs)
+
+    def mismatches(self) -> DataFrame:
+        return mismatches(checked(self.detail))
+
+    def mismatches_by_column(self) -> DataFrame:
+        return mismatches_by_column(checked(self.detail))
+
+    def summary(self) -> DataFrame:
+        equal = " AND ".join(column_checks(self.detail).values())
+        wrong = self.detail.selectExpr(named(f"count_if(NOT ({equal}))", "n"))
+        counts = self.pairs.selectExpr(
+            named(f"count_if({ORIGIN} = '{BOTH}')", "rows_matched"),
+            named(f"count_if({ORIGIN} = '{LEFT_ONLY}')", "left_only_rows"),
+            named(f"count_if({ORIGIN} = '{RIGHT_ONLY}')", "right_only_rows"),
+        )
+        return counts.select("*", wrong.scalar().alias("mismatch_rows"))
+
+
+def staged(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str] | None = None,
+    never_null: Sequence[str] = (),
+) -> Staged:
+    """Compare keys and digests first, whole rows only where digests differ.
+
+    Meant for saved results that agree mostly: rows that agree to the last bit never move.
+    Rows that differ are read again from both sides and compared with tolerance, so both
+    sides should be saved or cheap. The narrow pairs are written to the shared folder.
+    """
+    path = shared_folder(left.sparkSession, "reconcile-pairs")
+    narrow_pairs(left, right, keys, columns, never_null).write.parquet(path)
+    pairs = left.sparkSession.read.parquet(path)
+    wanted = pairs.where("differs").select(*[F.col(f"`{k}`").alias(f"_wanted_{k}") for k in keys])
+    if wanted.isEmpty():
+        # No job ever reads a wide column.
+        parts = [df.where(F.lit(False)) for df in (left, right)]
+    else:
+        parts = []
+        for df in (left, right):
+            same = [
+                F.col(f"`{k}`") == F.col(f"_wanted_{k}") if k in never_null else F.col(f"`{k}`").eqNullSafe(F.col(f"_wanted_{k}"))
+                for k in keys
+            ]
+            parts.append(df.join(wanted, same, "left_semi"))
+    return Staged(pairs, merged(*parts, keys, columns, how="inner", never_null=never_null))

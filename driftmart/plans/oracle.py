@@ -255,7 +255,22 @@ def _ratio(part: str, whole: str) -> str:
     return f"COALESCE(CAST({part} AS DOUBLE) / NULLIF({whole}, 0), 0)"
 
 
+# Queries that reach the rows of another one in another way.
+SAME_ROWS = {
+    "mart_kept_up": "monitoring_mart",
+    "ml_ready_kept_up": "ml_ready",
+    "reconcile_saved_summary": "reconcile_summary",
+    "reconcile_saved_mismatches": "reconcile_mismatches",
+    "reconcile_saved_by_column": "reconcile_by_column",
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    sql = _oracle_sql()
+    return sql | {name: sql[other] for name, other in SAME_ROWS.items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     sums = {
         SPEC.prev_flag: "large_{}_prev",
         SPEC.rolling_flag: "large_{}_rolling",
@@ -365,8 +380,6 @@ def oracle_sql() -> dict[str, str]:
         ),
         "reconcile_by_column": _by_column(),
         "ml_ready": _ml("SELECT * FROM ml_ready"),
-        "mart_kept_up": _mart("SELECT * FROM mart"),
-        "ml_ready_kept_up": _ml("SELECT * FROM ml_ready"),
         "ml_complete_cases": _ml(f"SELECT month_start, station_id, {features}, {TARGET} FROM cases", *SPLIT),
         "ml_time_split": _ml("SELECT month_start, station_id, split FROM split_cases", *SPLIT),
         "ml_split_summary": _ml(

@@ -132,7 +132,7 @@ def verify(
     A repeated grain would pair every copy with every copy, so it is an error.
     """
     quality.require_unique(monitoring, spec.grain)
-    return reconcile.summary(_against_sql(spark, monitoring, tables, spec))
+    return _against_sql(spark, monitoring, tables, spec).summary()
 
 
 def mismatches(
@@ -143,16 +143,16 @@ def mismatches(
 ) -> dict[str, DataFrame]:
     """Where ``verify`` finds differences: rows by origin, the mismatching rows, counts by column."""
     quality.require_unique(monitoring, spec.grain)
-    frame = _against_sql(spark, monitoring, tables, spec)
-    checks = reconcile.checked(frame)
+    comparison = _against_sql(spark, monitoring, tables, spec)
     return {
-        "origins": reconcile.origin_counts(frame),
-        "mismatches": reconcile.mismatches(checks),
-        "mismatches_by_column": reconcile.mismatches_by_column(checks),
+        "origins": comparison.origins(),
+        "mismatches": comparison.mismatches(),
+        "mismatches_by_column": comparison.mismatches_by_column(),
     }
 
 
 def _against_sql(spark, monitoring, tables, spec):
-    return reconcile.merged(
+    """Keys and digests first; the SQL formulation runs a second time only if rows differ."""
+    return reconcile.staged(
         monitoring, mart_by_sql(spark, tables, spec), spec.grain, never_null=(spec.entity,)
     )

@@ -405,6 +405,31 @@ def reconcile_by_column(spark, folder):
     return reconcile.mismatches_by_column(reconcile.checked(_comparison(spark, folder)))
 
 
+def _staged(spark, folder):
+    """The same two versions, saved, compared by digests first."""
+    target = shared_folder(spark, "reconcile")
+    files.write_parquet(_mart(spark, folder), f"{target}/left")
+    left = spark.read.parquet(f"{target}/left")
+    files.write_parquet(altered_copy(left), f"{target}/right")
+    return reconcile.staged(left, spark.read.parquet(f"{target}/right"), SPEC.grain, never_null=(SPEC.entity,))
+
+
+@query
+def reconcile_saved_summary(spark, folder):
+    return _staged(spark, folder).summary()
+
+
+@query
+def reconcile_saved_mismatches(spark, folder):
+    rows = _staged(spark, folder).mismatches()
+    return rows.select(*SPEC.grain, reconcile.ORIGIN, *[c for c in rows.columns if c.endswith("_check")], "is_match")
+
+
+@query
+def reconcile_saved_by_column(spark, folder):
+    return _staged(spark, folder).mismatches_by_column()
+
+
 # ---- prediction ---------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftmart.operators import reconcile
 
@@ -75,3 +76,52 @@ def test_value_columns_named_like_a_side_are_compared(spark):
     other = df.selectExpr("k", "a", "b + 1 AS b", "1 AS extra")
     checks = reconcile.checked(reconcile.merged(df, other, ["k"]))
     assert [tuple(r) for r in reconcile.mismatches_by_column(checks).collect()] == [("b", 1), ("a", 0)]
+
+
+def test_staged_comparison_equals_the_direct_one(spark, frame):
+    schema = "k int, value double, n bigint, label string"
+    left = [(i, a, 5, "x") for i, (a, _) in enumerate(PAIRS)] + [(900, 1.0, 1, "left"), (None, 1.0, 1, "null")]
+    right = [(i, b, 5, "x") for i, (_, b) in enumerate(PAIRS)] + [(901, 1.0, 1, "right"), (None, 1.0, 2, None)]
+    other = spark.createDataFrame(right, schema).withColumn("n", F.col("n").cast("int"))
+    both = reconcile.staged(spark.createDataFrame(left, schema), other, ["k"])
+    checks = reconcile.checked(frame)
+    direct = [
+        (reconcile.summary(frame), both.summary()),
+        (reconcile.origin_counts(frame), both.origins()),
+        (reconcile.mismatches_by_column(checks), both.mismatches_by_column()),
+        (reconcile.mismatches(checks), both.mismatches()),
+    ]
+    for theirs, mine in direct:
+        assert theirs.columns == mine.columns
+        assert sorted(map(str, theirs.collect())) == sorted(map(str, mine.collect()))
+
+
+def test_which_values_are_null_is_part_of_the_digest(spark):
+    left = spark.createDataFrame([(1, None, 5.0)], "k int, a double, b double")
+    right = spark.createDataFrame([(1, 5.0, None)], "k int, a double, b double")
+    assert reconcile.narrow_pairs(left, right, ["k"]).first().differs is True
+    assert reconcile.narrow_pairs(left, left, ["k"]).first().differs is False
+
+
+def test_equal_results_move_no_wide_column(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id AS k", *[f"id * {i} AS wide_{i}" for i in range(30)])
+    for side in ("left", "right"):
+        rows.write.parquet(f"{tmp_path}/{side}")
+    left, right = (spark.read.parquet(f"{tmp_path}/{side}") for side in ("left", "right"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = reconcile.staged(left, right, ["k"], never_null=("k",))
+        narrow = reconcile.narrow_pairs(left, right, ["k"], never_null=("k",))
+        plan = narrow._jdf.queryExecution().executedPlan().toString()
+        moved = [x for x in plan.splitlines() if "Exchange" in x or "Sort [" in x or "Join [" in x]
+        assert len(moved) == 5 and not any("wide" in x for x in moved)
+        above = plan[: plan.index("Exchange")]
+        assert "wide" not in above
+        assert tuple(both.summary().first()) == (1000, 0, 0, 0)
+        detail = both.mismatches()._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" not in detail.replace("LocalRelation", "")
+        changed = right.withColumn("wide_7", F.when(F.col("k") == 5, -1).otherwise(F.col("wide_7")))
+        found = reconcile.staged(left, changed, ["k"], never_null=("k",))
+        assert [r.k for r in found.mismatches().collect()] == [5]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
