@@ -13,12 +13,13 @@ bin per source in which the target is met; only that bin's documents are put in
 The outcome is a cut per source, so that each document's decision needs no shuffle.
 
 Only DataFrame functions are used. Random numbers come from the document's id, hence
-reruns and retried tasks agree.
+reruns and retried tasks agree. Where several rows share an id (NULL always counts as
+shared), a row's text and its place in the table come in, so each is decided by itself.
 
 Defined cases: NULL or blank text has 0 words and follows its source; NULL ``source``
-is a source of its own, last in order; rows that share ``doc_id`` (NULL included) share
-their random number and are taken together; an empty table gives an empty result; other
-columns are not touched, whatever their names.
+is a source of its own, last in order; rows that share ``doc_id`` are documents of their
+own; an empty table gives an empty result; other columns are not touched, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -45,10 +46,27 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_number(doc_id: str, seed: str = SEED) -> Column:
-    """Uniform in (0, 1), from 52 bits of a hash of the id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+def drawn(docs: DataFrame) -> DataFrame:
+    """Adds ``_draw``, the text that a row's random number is a function of."""
+    shared = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = saved(shared.select(F.col("doc_id").alias("_shared")), "mix-shared-ids")
+    count = shared.limit(SMALL_TABLE_ROWS + 1).count()
+    if count:
+        # A shared id's rows are split by adaptive execution where the ids are too many to broadcast.
+        right = F.broadcast(shared) if count <= SMALL_TABLE_ROWS else shared
+        docs = docs.join(right, F.col("doc_id") == F.col("_shared"), "left")
+        is_shared = F.col("doc_id").isNull() | F.col("_shared").isNotNull()
+    else:
+        is_shared = F.col("doc_id").isNull()
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    row = F.concat_ws(":", own, text, F.monotonically_increasing_id().cast("string"))
+    return docs.withColumn("_draw", F.when(is_shared, row).otherwise(own)).drop("_shared")
+
+
+def random_number(draw: str = "_draw", seed: str = SEED) -> Column:
+    """Uniform in (0, 1), from 52 bits of a hash."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(draw))), 1, 13), 16, 10).cast("long")
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -80,12 +98,11 @@ def source_targets(
         F.col("source").asc_nulls_last(),
     ]
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     filled = weighted.select(
         "*",
         (F.sum("source_size").over(everything) * F.lit(float(share))).alias("total"),
         F.coalesce(F.sum("limit").over(before), F.lit(0.0)).alias("taken_before"),
-        F.sum("weight").over(onward).alias("weight_onward"),
+        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("weight_onward"),
     ).withColumn(
         "full",
         (F.col("total") - F.col("taken_before")) * F.col("weight")
@@ -134,7 +151,7 @@ def source_cuts(
 ) -> DataFrame:
     """``source_targets`` plus the cut: all bins below ``cut_bin``, and up to (cut_rank, cut_id) in it."""
     targets = saved(source_targets(sizes, weights, share, cap), "mix-targets")
-    rank = pareto_rank(random_number("doc_id", seed), F.col("_mix.p"))
+    rank = pareto_rank(random_number("_draw", seed), F.col("_mix.p"))
     ranked = _with_source(sizes, targets).select(
         "doc_id", "source", "size", F.col("_mix.rest").alias("rest"), rank.alias("rank")
     )
@@ -175,7 +192,7 @@ def source_cuts(
 
 def with_copies(rows: DataFrame, cuts: DataFrame, seed: str = SEED, column: str = "_copies") -> DataFrame:
     """Adds the number of copies each row gets, and the source's row as ``_mix``."""
-    rank = pareto_rank(random_number("doc_id", seed), F.col("_mix.p"))
+    rank = pareto_rank(random_number("_draw", seed), F.col("_mix.p"))
     place = F.struct(F.col("_rank").alias("rank"), F.col("doc_id"))
     cut = F.struct(F.col("_mix.cut_rank").alias("rank"), F.col("_mix.cut_id").alias("doc_id"))
     more = (
@@ -191,8 +208,9 @@ def with_copies(rows: DataFrame, cuts: DataFrame, seed: str = SEED, column: str
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words; saved, so that texts are read once."""
-    return saved(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
+    """doc_id, source, size in words, ``_draw``; saved, so that texts are read once."""
+    rows = drawn(docs.select("doc_id", "source", "text"))
+    return saved(rows.select("doc_id", "source", word_count("text").alias("size"), "_draw"), "mix-sizes")
 
 
 def mix(
@@ -225,7 +243,7 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, repeated by their copies."""
     cuts = source_cuts(document_sizes(docs), weights, share, cap, seed)
-    counted = with_copies(docs, cuts, seed)
+    counted = with_copies(drawn(docs), cuts, seed)
     repeated = counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
     return repeated.select(*docs.columns)
 

@@ -119,7 +119,9 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     kind = F.col("kind")
     in_order = Window.partitionBy("row_key").orderBy("start", "end", "kind")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    after = in_order.rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, as Spark adds up a growing frame but computes a shrinking one anew for every row.
+    backwards = Window.partitionBy("row_key").orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
+    after = backwards.rowsBetween(Window.unboundedPreceding, -1)
 
     def near(kinds: tuple[str, ...]) -> Column:
         of_role = kind.isin(*kinds)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import time
 
 import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from driftmart.llm import language, licenses, mixing, near_dups, pieces, pii, queries, repeats, secret_links
 
@@ -96,6 +98,43 @@ def test_more_sources_than_are_broadcast(spark, monkeypatch):
     assert sorted(mixing.mix(docs).collect()) == few
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixing_meets_targets_where_rows_share_an_id(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(mixing, "SMALL_TABLE_ROWS", 1)
+    sizes = [(i * 37) % 90 + 1 for i in range(600)]
+    # A source's rows: half without an id, some sharing one, some all alike; another source absorbs the rest.
+    ids = [None if i % 2 else (7 if i % 6 == 0 else 8 if i % 10 == 0 else i + 100) for i in range(600)]
+    docs = documents(
+        spark,
+        [*("w " * n for n in sizes), *["same text here"] * 300, *["w " * 50] * 400],
+        ids=[*ids, *[None] * 300, *range(1000, 1400)],
+        sources=["a"] * 900 + ["b"] * 400,
+    )
+    for seed in ("mix", "m2", "m3", "m4") if broadcast else ("mix",):
+        rows = mixing.mix(docs, weights=(1, 2), share=0.9, seed=seed).collect()
+        total = {}
+        for r in rows:
+            total.setdefault(r.source, [0, r.target])[0] += r.taken
+        assert all(abs(taken - target) <= 90 for taken, target in total.values()), (seed, total)
+    again = mixing.mix(docs, weights=(1, 2), share=0.9, seed=seed).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_mixing_of_many_sources_is_fast(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'two words' AS text", "concat('s', id) AS source")
+    start = time.perf_counter()
+    assert mixing.source_targets(docs.selectExpr("source", "2L AS size")).agg(F.sum("target")).first()[0] == pytest.approx(60_000)
+    assert time.perf_counter() - start < 20
+
+
+def test_many_secrets_in_one_text_are_linked_in_linear_time(spark):
+    text = " ".join(f"password=abcdefgh{i}" for i in range(60_000))
+    start = time.perf_counter()
+    assert secret_links.scan(documents(spark, [text])).first().n_assign == 60_000
+    assert time.perf_counter() - start < 60
+
+
 def test_sentencepiece_equals_the_library_and_comes_back(spark, texts):
     import sentencepiece
 
