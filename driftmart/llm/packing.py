@@ -29,6 +29,8 @@ table gives an empty result; other columns are not touched.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,7 +50,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CELLS = 128
 DOCUMENTS = 3
 # Text parts a worker remembers, twice; longer ones are not remembered.
-REMEMBERED = 400_000
+REMEMBERED = 320_000
 LONG_PART = 100
 # Characters of a long text that are encoded together, ids of pieces that leave a task together.
 STEP_CHARS = 1 << 20
@@ -64,6 +66,7 @@ _PART = re.compile(
     r"|\s*\S+(?:[^\S \t-\r]\s*\S*)*|\s+"
 )
 _LATIN_END = "\u024f"
+_UNSIGNED = "I"  # four bytes
 _SPLIT = re.compile(r"(?<=\S)[ \t-\r]")
 
 
@@ -103,11 +106,14 @@ class Encoder(dict):
     def _tokenise(self, part: str) -> bytes:
         word = part[1:] if part[0] == " " else part
         if word.isalpha() and max(word) <= _LATIN_END:
-            symbols = part.encode().decode("latin-1").translate(self.symbol)
+            if part.isascii():
+                symbols = part.replace(" ", self.symbol[32])  # ASCII letters stand for themselves
+            else:
+                symbols = part.encode().decode("latin-1").translate(self.symbol)
             ids = [x.id for x in self.model.tokenize(symbols)]
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array(_UNSIGNED, ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
