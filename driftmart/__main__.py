@@ -6,10 +6,11 @@ under TARGET and prints the reports, the reconciliation and the scores of the mo
 
 import argparse
 
-from driftmart.operators.quality import load_check, row_counts
+from driftmart.operators.quality import ObservedLoad, load_check, saved_profile
 from driftmart.plans import pipeline
 from driftmart.session import build_session
 from driftmart.sources.files import load_tables
+from driftmart.spec import STATION
 
 
 def main() -> None:
@@ -21,9 +22,14 @@ def main() -> None:
 
     spark = build_session()
     tables = load_tables(spark, args.source)
-    row_counts(tables).show()
-    load_check(tables).show(100)
-    saved = pipeline.build(tables, args.target, csv=args.csv)
+    # Readings and events are checked while the marts are built from them.
+    load = ObservedLoad()
+    watched = {name: load.watch(name, tables[name]) for name in ("measurements", "events")}
+    saved = pipeline.build(watched, args.target, csv=args.csv)
+    load_check({"stations": tables["stations"]}).unionByName(load.check(spark)).show(100)
+    folder = args.target.rstrip("/")
+    profiled = {name: (f"{folder}/{name}", STATION.period) for name in (pipeline.MONITORING, pipeline.ML_READY)}
+    saved_profile(spark, profiled).show()
     for name, report in pipeline.reports(saved[pipeline.MONITORING]).items():
         print(name)
         report.show()

@@ -262,6 +262,7 @@ SAME_ROWS = {
     "reconcile_saved_summary": "reconcile_summary",
     "reconcile_saved_mismatches": "reconcile_mismatches",
     "reconcile_saved_by_column": "reconcile_by_column",
+    "csv_observed_check": "csv_load_check",
 }
 
 
@@ -290,6 +291,14 @@ def _oracle_sql() -> dict[str, str]:
             " MIN(measurement_date) AS min_date, MAX(measurement_date) AS max_date FROM mon_measurements UNION ALL"
             " SELECT 'events', COUNT(*), 6, MIN(event_date), MAX(event_date) FROM mon_events",
         ),
+        "saved_profile": " UNION ALL ".join(
+            f"SELECT '{table}' AS table_name, COUNT(*) AS row_count, {columns} AS column_count,"
+            f" MIN(month_start) AS min_date, MAX(month_start) AS max_date FROM ({rows})"
+            for table, columns, rows in (
+                ("monitoring", 51, _mart("SELECT * FROM mart")),
+                ("ml_ready", 49, _ml("SELECT * FROM ml_ready")),
+            )
+        ),
         "measurements_head": ansi.with_query(
             SOURCES, "SELECT * FROM mon_measurements ORDER BY measurement_id LIMIT 3"
         ),
@@ -380,6 +389,16 @@ def _oracle_sql() -> dict[str, str]:
         ),
         "reconcile_by_column": _by_column(),
         "ml_ready": _ml("SELECT * FROM ml_ready"),
+        "report_totals": _mart(
+            "SELECT station_id, mode, monitoring_status, COUNT(*) AS row_count,"
+            " COUNT(*) FILTER (WHERE signal_count >= 2 AND event_count > 0) AS bad_with_events,"
+            " COUNT(*) FILTER (WHERE signal_count > 0 AND event_count > 0) AS problematic_with_events,"
+            " COUNT(*) FILTER (WHERE event_count > 0) AS rows_with_events,"
+            " COUNT(*) FILTER (WHERE signal_count > 0) AS rows_with_signals,"
+            " COUNT(*) FILTER (WHERE signal_count > 0 AND event_count > 0) AS rows_with_signals_and_events, "
+            + ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in SPEC.flag_columns)
+            + " FROM mart GROUP BY station_id, mode, monitoring_status"
+        ),
         "ml_complete_cases": _ml(f"SELECT month_start, station_id, {features}, {TARGET} FROM cases", *SPLIT),
         "ml_time_split": _ml("SELECT month_start, station_id, split FROM split_cases", *SPLIT),
         "ml_split_summary": _ml(

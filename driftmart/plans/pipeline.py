@@ -11,6 +11,7 @@ from driftmart.operators import analysis, quality, reconcile, series
 from driftmart.operators.events import event_monthly
 from driftmart.operators.metrics import monthly_from_sums, monthly_sums
 from driftmart.plans import ansi, mart
+from driftmart.session import shared_folder
 from driftmart.sources import files
 from driftmart.spec import STATION, STATION_MODE, MonitoringSpec
 
@@ -93,14 +94,15 @@ def score(spark: SparkSession, target: str, rows: DataFrame) -> DataFrame:
 
 
 def reports(monitoring: DataFrame, spec: MonitoringSpec = STATION_MODE) -> dict[str, DataFrame]:
-    """The analysis and diagnostic tables of a saved mart."""
+    """The analysis and diagnostic tables of a saved mart.
+
+    Five of them are added up from totals that one scan writes to the shared folder.
+    """
+    path = shared_folder(monitoring.sparkSession, "report-totals")
+    analysis.report_totals(monitoring, spec).write.parquet(path)
     return {
-        "bad_status_rate": analysis.bad_status_rate(monitoring, spec),
+        **analysis.reports_of(monitoring.sparkSession.read.parquet(path), spec),
         "critical_events": analysis.critical_events_by_entity(monitoring, spec),
-        "mode_overlap_rate": analysis.mode_overlap_rate(monitoring, spec),
-        "status_distribution": analysis.status_distribution(monitoring),
-        "signal_totals": analysis.signal_totals(monitoring, spec),
-        "overlap_counts": analysis.overlap_counts(monitoring),
         "grain_duplicates": quality.grain_duplicates(monitoring, spec.grain),
         "diagnostics": analysis.diagnostics(monitoring, spec),
         **{

@@ -149,6 +149,39 @@ def ml_ready_kept_up(spark, folder):
     return _kept_up(spark, folder, upkeep.ML_READY)
 
 
+@query
+def saved_profile(spark, folder):
+    """Rows and months of both saved marts, from their footers."""
+    target = shared_folder(spark, "profile")
+    files.write_parquet(_mart(spark, folder), f"{target}/monitoring")
+    files.write_parquet(_ml_ready(spark, folder), f"{target}/ml_ready")
+    return quality.saved_profile(spark, {t: (f"{target}/{t}", SPEC.period) for t in ("monitoring", "ml_ready")})
+
+
+@query
+def csv_observed_check(spark, folder):
+    """The figures of the load check, collected while the monthly layers are aggregated."""
+    t = star.tables(spark, folder)
+    target = shared_folder(spark, "csv")
+    for name in ("stations", "measurements", "events"):
+        files.write_csv(getattr(t, name), f"{target}/{name}.csv")
+    loaded, load = files.load_tables(spark, target), quality.ObservedLoad()
+    work = {
+        "stations": lambda df: df.groupBy("region").count(),
+        "measurements": lambda df: metrics.monthly_metrics(df, SPEC),
+        "events": lambda df: events.event_monthly(df, SPEC),
+    }
+    for name, aggregate in work.items():
+        files.write_parquet(aggregate(load.watch(name, loaded[name])), f"{target}/aggregated/{name}")
+    return load.check(spark)
+
+
+@query
+def report_totals(spark, folder):
+    """Counts per station, mode and status, from which five reports are added up."""
+    return analysis.report_totals(_mart(spark, folder), SPEC)
+
+
 @query
 def grain_duplicates(spark, folder):
     """Readings that share station, date and mode with another reading."""

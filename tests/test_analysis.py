@@ -107,3 +107,24 @@ def test_counts_profile_head(spark, mart):
     first = quality.head(mart, 3, *STATION_MODE.series_keys, "month_start").collect()
     assert [str(r.month_start) for r in first] == ["2024-01-01", "2024-02-01", "2024-03-01"]
     assert dict(quality.column_types(mart))["month_start"] == "date"
+
+
+def test_reports_from_one_scan_equal_the_direct_ones(spark, mart):
+    totals = analysis.report_totals(mart)
+    direct = {
+        "bad_status_rate": analysis.bad_status_rate(mart),
+        "mode_overlap_rate": analysis.mode_overlap_rate(mart),
+        "status_distribution": analysis.status_distribution(mart),
+        "signal_totals": analysis.signal_totals(mart),
+        "overlap_counts": analysis.overlap_counts(mart),
+    }
+    found = analysis.reports_of(totals)
+    assert list(found) == list(direct)
+    for name, expected in direct.items():
+        assert found[name].columns == expected.columns
+        assert found[name].dtypes == expected.dtypes
+        assert found[name].collect() == expected.collect()
+    nothing = mart.where("station_id = 99")
+    empty = analysis.reports_of(analysis.report_totals(nothing))
+    assert empty["overlap_counts"].first() == analysis.overlap_counts(nothing).first()
+    assert empty["signal_totals"].first() == analysis.signal_totals(nothing).first()

@@ -1,6 +1,7 @@
 import pytest
 from tables import events, readings
 
+from driftmart.operators import quality
 from driftmart.plans import ansi, mart, pipeline
 from driftmart.sources.files import read_csv, register_views
 from driftmart.spec import STATION
@@ -110,3 +111,29 @@ def test_existing_results_are_not_overwritten(tables, saved):
 
 def test_station_grain_has_no_mode(tables):
     assert "mode" not in mart.ml_ready(tables["measurements"], tables["events"], STATION).columns
+
+
+def test_reports_scan_the_mart_twice(spark, saved):
+    """Once for the totals of five reports, once for the critical events; the rest is per row."""
+    results = pipeline.reports(saved[1]["monitoring"])
+    for name in ("bad_status_rate", "mode_overlap_rate", "status_distribution", "signal_totals", "overlap_counts"):
+        plan = results[name]._jdf.queryExecution().executedPlan().toString()
+        assert "report-totals" in plan or "avg_pressure" not in plan
+        assert "month_start" not in plan
+
+
+def test_profile_from_footers_reads_no_rows(spark, saved):
+    folders = {name: (f"{saved[0]}/{name}", "month_start") for name in ("monitoring", "ml_ready")}
+    found = quality.saved_profile(spark, folders)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*), MIN(month_start), MAX(month_start)]") == 2
+    direct = quality.table_profile({name: (saved[1][name], "month_start") for name in folders})
+    assert sorted(found.collect()) == sorted(direct.collect())
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""
+
+
+def test_load_check_without_another_pass(spark, tables, tmp_path):
+    load = quality.ObservedLoad()
+    watched = {name: load.watch(name, tables[name]) for name in ("measurements", "events")}
+    pipeline.build(watched, str(tmp_path))
+    assert sorted(map(str, load.check(spark).collect())) == sorted(map(str, quality.load_check(tables).collect()))

@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 
 from driftmart.plans.queries import REGISTRY
 
-EAGER = {"mart_kept_up", "ml_ready_kept_up", "reconcile_saved_summary", "reconcile_saved_mismatches", "reconcile_saved_by_column"} | { "csv_load_row_counts", "csv_load_check", "csv_mart_roundtrip", "parquet_ml_roundtrip"} | {
+EAGER = {"saved_profile", "csv_observed_check", "mart_kept_up", "ml_ready_kept_up", "reconcile_saved_summary", "reconcile_saved_mismatches", "reconcile_saved_by_column"} | { "csv_load_row_counts", "csv_load_check", "csv_mart_roundtrip", "parquet_ml_roundtrip"} | {
     "ml_predictions",
     "ml_metrics",
     "ml_confusion",
