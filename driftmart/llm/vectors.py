@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +57,7 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def widest(column: pa.ChunkedArray) -> int:
-    sizes = [len(x) for x in column.to_pylist()]
-    return max(sizes, default=0)
+    return pc.max(pc.list_value_length(column)).as_py() or 0
 
 
 Search = Callable[[np.ndarray, list[list[int]], np.ndarray, np.ndarray, np.ndarray], list[tuple]]
