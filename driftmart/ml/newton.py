@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from driftmart.functions.expressions import name, named
 
 # A fit ends when each feature's gradient is below this share of its value at zero
-# coefficients, or when a step no longer moves any coefficient.
+# coefficients, or with the step that promises to lower the loss by less than this share of it:
+# steps converge quadratically, so what is left after that one is rounding.
 GRADIENT_SHARE = 1e-9
-STILL = 1e-13
+LEAST_GAIN = 1e-15
 MAX_PASSES = 40
 # Curvature of a row is never taken as less, so that a division by it is possible.
 LEAST_CURVATURE = 1e-30
@@ -82,7 +83,8 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, weight: str, penal
             break
         scale = 1 / np.sqrt(np.maximum(np.diag(curvature), LEAST_CURVATURE))
         step = scale * np.linalg.lstsq(curvature * np.outer(scale, scale), scale * gradient, rcond=1e-15)[0]
-        if (np.abs(step) <= STILL * np.maximum(np.abs(beta), 1e-3)).all():
+        if gradient @ step / 2 <= LEAST_GAIN * loss:
+            beta = beta - step
             break
         share = 1.0
         while True:
