@@ -80,7 +80,13 @@ def search_block(wanted: int):
 def top_products(table: DataFrame, is_query: Column, wanted: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``wanted`` highest integer inner products per query."""
     valid = vectors.valid(table, nonzero=False)
-    scaled = F.transform("vec", lambda x: F.floor(x * 256).cast("double"))
+    # Beyond 64 bits floor() would saturate.
+    scaled = F.transform(
+        "vec",
+        lambda x: F.when(F.abs(x) < F.lit(2.0**55), F.floor(x * 256).cast("double")).otherwise(
+            F.raise_error(F.lit("a component is beyond 64 bits")).cast("double")
+        ),
+    )
     rows = saved(valid.select("vec_id", scaled.alias("vec")), "scaled")
     size = vectors.length()
     points = vectors.classes(rows, wanted).withColumn("norm", size)

@@ -54,6 +54,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]++(?:[().\x20/_-]{1,3}[0-9]++)*+")
 _ADDRESS = re.compile(r"[^\s@<>,;:()\"']{1,64}@[^\s@<>,;:()\"']{1,255}")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 _INTERESTING = re.compile(r"[0-9@]")
 
 
@@ -137,6 +138,25 @@ def _key(text: str, start: int, end: int) -> str:
     return _NOT_DIGIT.sub("", own)[-9:]
 
 
+def _known_runs(text: str, start: int, end: int, known: set[str]) -> Iterator[tuple[int, int]]:
+    """Runs of digit groups between ``start`` and ``end`` that have a known key, the shortest ones.
+
+    So a number next to others, or behind another's last group, is a token of its own.
+    """
+    groups = [(m.start(), m.end()) for m in _DIGITS.finditer(text, start, end)]
+    done = 0
+    for j, (_, stop) in enumerate(groups):
+        digits = ""
+        for i in range(j, done - 1, -1):
+            digits = text[groups[i][0] : groups[i][1]] + digits
+            if len(digits) >= 7 and digits[-9:] in known:
+                yield groups[i][0], stop
+                done = j + 1
+                break
+            if len(digits) >= 9:
+                break
+
+
 def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
     spans = [(a, b, k) for a, k, b in base]
     covered = np.zeros(0)
@@ -158,8 +178,12 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
         return i < 0 or covered[1][i] <= a
 
     more: list[tuple[int, int, int]] = []
+    known = {_key(text, a, b) for a, _, b in base}
     for m in _NUMBER.finditer(text):
-        if 7 <= len(_NOT_DIGIT.sub("", m[0])) <= 25 and free(m.start(), m.end()):
+        runs = [(a, b, -1) for a, b in _known_runs(text, m.start(), m.end(), known) if free(a, b)] if known else []
+        if runs:
+            more += runs
+        elif 7 <= len(_NOT_DIGIT.sub("", m[0])) <= 25 and free(m.start(), m.end()):
             more.append((m.start(), m.end(), -1))
     if "@" in text:
         for m in _ADDRESS.finditer(text):

@@ -199,6 +199,20 @@ def test_skip_chain_finds_the_number_without_its_country_code():
     assert pii.find(pii.default_field(), "call 659-555-3949 or 659-555-3949")[1] == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "+1 (659) 555-3949 and 659-555-3949 12:30",
+        "call +1 (659) 555-3949, room 12 659-555-3949",
+        "+1 (659) 555-3949; 1 2 3 659-555-3949 111-222-3333 4 5",
+        "+1 (659) 555-3949 | " + "12 " * 20 + "659-555-3949",
+    ],
+)
+def test_skip_chain_finds_a_number_among_others(text):
+    base, every = pii.find(pii.default_field(), text)
+    assert [text[a:b] for a, k, b in every if (a, k, b) not in base] == ["659-555-3949"]
+
+
 def test_weak_secrets_only_with_their_complement(spark):
     bare = "aB3" * 13 + "Z"
     given = [

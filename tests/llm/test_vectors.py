@@ -48,6 +48,12 @@ def test_exact_products_with_ties_and_odd_rows(spark, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id) for r in found} == expected
 
 
+def test_components_beyond_64_bits_fail(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (1, [2.0**55])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        inner_product.top_products(rows, F.col("vec_id") == 0).collect()
+
+
 def test_nearest_with_ties_and_odd_rows(spark):
     rows = odd_rows()
     found = neighbours.nearest(table(spark, rows[:200] + rows[400:]), F.col("vec_id") % 20 == 0, 20).collect()
