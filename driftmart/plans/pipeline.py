@@ -61,6 +61,45 @@ def build(
     return saved
 
 
+def build_bucketed(
+    tables: Mapping[str, DataFrame],
+    target: str,
+    buckets: int,
+    spec: MonitoringSpec = STATION_MODE,
+    prefix: str = "driftmart_",
+    mode: str = "errorifexists",
+) -> dict[str, DataFrame]:
+    """As ``build``, but as catalog tables bucketed by station: after the sums, nothing is exchanged.
+
+    The sums and event months are dealt by station once, when they are saved. Both marts, their
+    windows, joins and targets, and later joins of the saved tables on the station keep that
+    distribution. Choose ``buckets`` so that a bucket of the mart fits a task.
+    """
+    stations = spec.per_entity()
+
+    def save(table: str, df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        path = f"{target.rstrip('/')}/{table}"
+        return files.write_bucketed(df, f"{prefix}{table}", path, spec.entity, keys, buckets, mode)
+
+    sums = save(SUMS, monthly_sums(tables["measurements"], spec), (*spec.series_keys, spec.period))
+    event_months = save(EVENT_MONTHS, event_monthly(tables["events"], spec), (spec.entity, spec.period))
+    marts = bucketed_marts(sums, event_months, spec)
+    keys = {MONITORING: (*spec.series_keys, spec.period), ML_READY: (*stations.series_keys, spec.period)}
+    return {table: save(table, df, keys[table]) for table, df in marts.items()}
+
+
+def bucketed_marts(
+    sums: DataFrame, event_months: DataFrame, spec: MonitoringSpec = STATION_MODE
+) -> dict[str, DataFrame]:
+    """Both marts from sums and event months that are distributed by station already."""
+    stations = spec.per_entity()
+    without_duration = event_months.drop("avg_event_duration")
+    return {
+        MONITORING: mart.mart_of(monthly_from_sums(sums, spec), event_months, spec),
+        ML_READY: mart.ml_ready_of(monthly_from_sums(sums, stations), without_duration, stations),
+    }
+
+
 def model(
     ml_ready: DataFrame, spec: MonitoringSpec = STATION, target: str | None = None, mode: str = "errorifexists"
 ) -> dict[str, DataFrame]:

@@ -1,7 +1,8 @@
 import pytest
 from tables import events, readings
 
-from driftmart.operators import quality
+from driftmart.operators import quality, reconcile
+from driftmart.operators.events import enrich_with_events
 from driftmart.plans import ansi, mart, pipeline
 from driftmart.sources.files import read_csv, register_views
 from driftmart.spec import STATION
@@ -137,3 +138,28 @@ def test_load_check_without_another_pass(spark, tables, tmp_path):
     watched = {name: load.watch(name, tables[name]) for name in ("measurements", "events")}
     pipeline.build(watched, str(tmp_path))
     assert sorted(map(str, load.check(spark).collect())) == sorted(map(str, quality.load_check(tables).collect()))
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tables, saved, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pipeline.build_bucketed(tables, str(tmp_path), buckets=4, prefix="test_bucketed_")
+        for name, df in found.items():
+            expected = saved[1][name]
+            assert sorted(map(str, df.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+        stored = {name: spark.table(f"test_bucketed_{name}") for name in ("monthly_sums", "event_months")}
+        marts = pipeline.bucketed_marts(stored["monthly_sums"], stored["event_months"])
+        against_itself = reconcile.merged(
+            found["monitoring"], marts["monitoring"], ("month_start", "station_id", "mode"), never_null=("station_id",)
+        )
+        with_events = enrich_with_events(
+            found["monitoring"].select("month_start", "station_id", "mode"), stored["event_months"]
+        )
+        for df in (*marts.values(), against_itself, with_events):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert tuple(reconcile.summary(against_itself).first()) == (36, 0, 0, 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("monthly_sums", "event_months", "monitoring", "ml_ready"):
+            spark.sql(f"DROP TABLE IF EXISTS test_bucketed_{name}")
