@@ -13,7 +13,7 @@ from driftmart.llm.common import saved, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a known language that makes up half of the text."""
+    """Drops documents whose language is unknown; mixtures of known languages stay."""
     return language.readable(docs, language.fit(docs))
 
 
