@@ -18,7 +18,7 @@ are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import date
 
@@ -35,6 +35,7 @@ from driftmart.spec import STATION_MODE, MonitoringSpec
 # Months present per series, in two slots written in turn, as a table that is read cannot be replaced.
 SERIES = "series_months"
 SLOTS = 2
+MARTS = (MONITORING, ML_READY)
 
 
 @dataclass(frozen=True)
@@ -102,21 +103,47 @@ def _present(sums: DataFrame, spec: MonitoringSpec, column: str) -> DataFrame:
     return sums.groupBy(*spec.series_keys).agg(F.array_sort(F.collect_list(spec.period)).alias(column))
 
 
-def _save_series(series: DataFrame, target: str, version: int) -> None:
+def _save_series(series: DataFrame, target: str, version: int, marts: tuple[str, ...]) -> None:
     path = f"{_path(target, SERIES)}/slot={version % SLOTS}"
-    series.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
+    marked = series.withColumns({"version": F.lit(version), "marts": F.lit(",".join(marts))})
+    marked.write.mode("overwrite").parquet(path)
 
 
-def _series(spark: SparkSession, target: str) -> tuple[DataFrame, int]:
+def _series(spark: SparkSession, target: str) -> tuple[DataFrame, int, tuple[str, ...]]:
+    """The months per series, their version, and the marts kept."""
     saved = spark.read.parquet(_path(target, SERIES))
-    version = saved.agg(F.max("version")).first()[0] or 0
-    return saved.where((F.col("slot") == version % SLOTS) & (F.col("version") == version)).drop("slot", "version"), version
+    if "marts" not in saved.columns:
+        saved = saved.withColumn("marts", F.lit(",".join(MARTS)))
+    version, marts = saved.agg(F.max("version"), F.max("marts")).first()
+    version, marts = version or 0, tuple(marts.split(",")) if marts else MARTS
+    current = saved.where((F.col("slot") == version % SLOTS) & (F.col("version") == version))
+    return current.drop("slot", "version", "marts"), version, marts
+
+
+def _named(marts: Iterable[str]) -> tuple[str, ...]:
+    wanted = set(marts)
+    if not wanted or wanted - set(MARTS):
+        raise ValueError(f"marts are some of {', '.join(MARTS)}")
+    return tuple(table for table in MARTS if table in wanted)
+
+
+def _plan(table: str, spec: MonitoringSpec) -> tuple[MonitoringSpec, int, Callable[[DataFrame, DataFrame], DataFrame]]:
+    """Grain of a mart, rows it looks ahead, and its rows from sums and event months."""
+    if table == MONITORING:
+        return spec, 0, lambda sums, events: mart.mart_of(*_inputs(sums, events, spec))
+    stations = spec.per_entity()
+    return stations, 1, lambda sums, events: mart.ml_ready_of(*_inputs(sums, events, stations))
 
 
 def build(
-    tables: Mapping[str, DataFrame], target: str, spec: MonitoringSpec = STATION_MODE, mode: str = "errorifexists"
+    tables: Mapping[str, DataFrame],
+    target: str,
+    spec: MonitoringSpec = STATION_MODE,
+    mode: str = "errorifexists",
+    marts: Iterable[str] = MARTS,
 ) -> dict[str, DataFrame]:
-    """Both marts from all readings and events, saved by month for ``refresh``."""
+    """The marts from all readings and events, saved by month for ``refresh``, which keeps up those in ``marts``."""
+    marts = _named(marts)
     spark = tables["measurements"].sparkSession
     dated = {
         "measurements": tables["measurements"].where(F.col(spec.reading_date).isNotNull()),
@@ -125,22 +152,28 @@ def build(
     _write(monthly_sums(dated["measurements"], spec), target, SUMS, spec.series_keys, spec, mode)
     _write(event_monthly(dated["events"], spec), target, EVENT_MONTHS, [spec.entity], spec, mode)
     sums, events = read(spark, target, SUMS, spec), read(spark, target, EVENT_MONTHS, spec)
-    _write(mart.mart_of(*_inputs(sums, events, spec)), target, MONITORING, spec.series_keys, spec, mode)
-    stations = spec.per_entity()
-    _write(mart.ml_ready_of(*_inputs(sums, events, stations)), target, ML_READY, stations.series_keys, spec, mode)
-    _save_series(_present(sums, spec, "months"), target, 0)
-    return {table: read(spark, target, table, spec) for table in (MONITORING, ML_READY)}
+    for table in marts:
+        grain, _, compute = _plan(table, spec)
+        _write(compute(sums, events), target, table, grain.series_keys, spec, mode)
+    _save_series(_present(sums, spec, "months"), target, 0, marts)
+    return {table: read(spark, target, table, spec) for table in marts}
 
 
 def _concerned(months: str, given: Column, back: int, ahead: int) -> Column:
-    """Months of a series with one of ``given`` among the ``back`` rows before, itself, and ``ahead`` rows after."""
+    """Months of a series with one of ``given`` among the ``back`` rows before, itself, and ``ahead`` rows after.
+
+    Looked up from the months given, a run of rows around each, so that the work per series does
+    not grow with the rows a given month is far from. Runs may overlap.
+    """
     sequence = F.col(months)
 
-    def near(_, place: Column) -> Column:
-        first = F.greatest(place + 1 - F.lit(back), F.lit(1))
-        return F.arrays_overlap(F.slice(sequence, first, place + 2 + F.lit(ahead) - first), given)
+    def around(month: Column) -> Column:
+        place = F.array_position(sequence, month).cast("int")
+        first = F.greatest(place - F.lit(ahead), F.lit(1))
+        run = F.slice(sequence, first, place + F.lit(back) + 1 - first)
+        return F.when(place > 0, run).otherwise(F.array().cast("array<date>"))
 
-    return F.filter(sequence, near)
+    return F.flatten(F.transform(given, around))
 
 
 def _months(series: DataFrame, *columns: Column) -> set[date]:
@@ -182,7 +215,7 @@ def refresh(
     _replace(event_monthly(log, spec), target, EVENT_MONTHS, [spec.entity], given, spec)
     sums, events = read(spark, target, SUMS, spec), read(spark, target, EVENT_MONTHS, spec)
 
-    old, version = _series(spark, target)
+    old, version, marts = _series(spark, target)
     # One row per series: months present before and after.
     fresh = _present(sums.where(F.col(spec.period).isin(sorted(given))), spec, "fresh")
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"f.{k}")) for k in spec.series_keys]
@@ -194,19 +227,15 @@ def refresh(
         F.coalesce("o.months", none).alias("old"),
         F.array_sort(F.array_union(kept, F.coalesce("f.fresh", none))).alias("new"),
     )
-    stations = spec.per_entity()
     by_station = series.groupBy(spec.entity).agg(
         *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("old", "new")]
     )
-    plans = {
-        MONITORING: (series, spec, 0, lambda s, e: mart.mart_of(*_inputs(s, e, spec))),
-        ML_READY: (by_station, stations, 1, lambda s, e: mart.ml_ready_of(*_inputs(s, e, stations))),
-    }
     reached = {}
-    for table, (rows, grain, ahead, compute) in plans.items():
-        reach = reached[table] = _reach(rows, given, grain, ahead)
+    for table in marts:
+        grain, ahead, compute = _plan(table, spec)
+        reach = reached[table] = _reach(series if grain is spec else by_station, given, grain, ahead)
         window = F.col(spec.period).isin(list(reach.read))
         changed = compute(sums.where(window), events.where(window)).where(F.col(spec.period).isin(list(reach.written)))
         _replace(changed, target, table, grain.series_keys, reach.written, spec)
-    _save_series(series.select(*spec.series_keys, F.col("new").alias("months")).where(F.size("months") > 0), target, version + 1)
+    _save_series(series.select(*spec.series_keys, F.col("new").alias("months")).where(F.size("months") > 0), target, version + 1, marts)
     return reached

@@ -119,3 +119,33 @@ def test_bad_months_and_none(spark, raw, tmp_path):
         upkeep.refresh(spark, str(tmp_path), raw, [date(2023, 1, 2)])
     assert upkeep.refresh(spark, str(tmp_path), raw, []) == {}
     assert STATION.mode is None and STATION_MODE.mode
+
+
+@pytest.mark.parametrize("kept", ["monitoring", "ml_ready"])
+def test_one_mart_alone(spark, raw, tmp_path, kept):
+    target = str(tmp_path)
+    assert list(upkeep.build(without(raw, MONTHS[7:8]), target, marts=[kept])) == [kept]
+    assert list(upkeep.refresh(spark, target, raw, MONTHS[7:8])) == [kept]
+    other = ({"monitoring", "ml_ready"} - {kept}).pop()
+    assert (tmp_path / kept).exists() and not (tmp_path / other).exists()
+    full = getattr(mart, {"monitoring": "monitoring_mart"}.get(kept, kept))(raw["measurements"], raw["events"])
+    assert rows_of(upkeep.read(spark, target, kept).select(full.columns)) == rows_of(full)
+    with pytest.raises(ValueError, match="marts are"):
+        upkeep.build(raw, f"{target}/none", marts=["else"])
+
+
+@pytest.mark.parametrize("back, ahead", [(3, 0), (3, 1), (1, 3), (0, 0)])
+def test_months_concerned_are_looked_up_from_the_months_given(spark, back, ahead):
+    rng = np.random.default_rng(5)
+    given = [MONTHS[0], MONTHS[6], MONTHS[7], MONTHS[15]]
+    rows = [(i, [m for m in MONTHS if rng.random() < 0.5]) for i in range(60)]
+    expected = {
+        i: {m for k, m in enumerate(months) if set(given) & set(months[max(k - back, 0) : k + ahead + 1])}
+        for i, months in rows
+    }
+    found = spark.createDataFrame(rows, "id int, months array<date>").select(
+        "id", upkeep._concerned("months", F.array(*map(F.lit, given)), back, ahead).alias("found")
+    )
+    assert {r.id: set(r.found) for r in found.collect()} == expected
+    # Per month of a series nothing is evaluated but the search for the months given.
+    assert "arrays_overlap" not in found._jdf.queryExecution().optimizedPlan().toString()
