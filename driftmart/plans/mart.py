@@ -16,28 +16,51 @@ from driftmart.operators.metrics import monthly_metrics
 from driftmart.operators.signals import monitoring_status, signal_count, signal_flags
 from driftmart.spec import STATION, STATION_MODE, MonitoringSpec
 
+# Wide rows of the mart take about 2 kB each in the sorts of a comparison of two of them.
+READINGS_PER_PARTITION = 200_000
 EVENT_STATES = ("has_events", "has_critical_events")
 
 
-def by_entity(df: DataFrame, spec: MonitoringSpec) -> DataFrame:
+def by_entity(df: DataFrame, spec: MonitoringSpec, partitions: int | None = None) -> DataFrame:
     """Distribute a pre-aggregated table by entity.
 
     One exchange then serves the windows over (entity, mode), the event join on
     (entity, period) and the LEAD over entity. It moves aggregated rows only:
     at most months x modes per entity, however many readings an entity has.
+
+    Adaptive execution merges partitions by the bytes of these narrow rows. Where wide
+    rows are sorted after the windows, give ``partitions``, see ``partitions_for``.
     """
-    return df.repartition(F.col(spec.entity))
+    return df.repartition(*([partitions] if partitions else []), F.col(spec.entity))
+
 
+def partitions_for(readings: DataFrame) -> int:
+    """Partitions that hold at most ``READINGS_PER_PARTITION`` rows of the mart on average.
 
-def monthly(readings: DataFrame, spec: MonitoringSpec = STATION_MODE) -> DataFrame:
-    return by_entity(monthly_metrics(readings, spec), spec)
+    Readings are counted, as the mart has no more rows than they are; from Parquet the count
+    takes the footers only. Never fewer than the session's shuffle partitions, as Spark would
+    exchange once more for a join that has fewer.
+    """
+    conf = readings.sparkSession.conf
+    usual = conf.get("spark.sql.shuffle.partitions")
+    least = max(int(usual), int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", usual)))
+    return max(least, -(-readings.count() // READINGS_PER_PARTITION))
+
+
+def monthly(
+    readings: DataFrame, spec: MonitoringSpec = STATION_MODE, partitions: int | None = None
+) -> DataFrame:
+    return by_entity(monthly_metrics(readings, spec), spec, partitions)
 
 
 def monthly_events(
-    events: DataFrame, spec: MonitoringSpec = STATION_MODE, with_duration: bool = True
+    events: DataFrame,
+    spec: MonitoringSpec = STATION_MODE,
+    with_duration: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Event metrics distributed like the mart, so that the join moves this narrow side only."""
-    return by_entity(event_monthly(events, spec, with_duration), spec)
+    return by_entity(event_monthly(events, spec, with_duration), spec, partitions)
 
 
 def flagged(metrics: DataFrame, spec: MonitoringSpec = STATION_MODE) -> DataFrame:
@@ -55,7 +78,10 @@ def monitoring_core(readings: DataFrame, spec: MonitoringSpec = STATION_MODE) ->
 
 
 def monitoring_mart(
-    readings: DataFrame, events: DataFrame, spec: MonitoringSpec = STATION_MODE
+    readings: DataFrame,
+    events: DataFrame,
+    spec: MonitoringSpec = STATION_MODE,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The full mart: one row per month, station and mode.
 
@@ -63,7 +89,9 @@ def monitoring_mart(
     a sort-merge join then sorts 8 columns instead of 44. Where a query reads no
     event column Catalyst drops the join, the event side being unique on its key.
     """
-    return mart_of(monthly(readings, spec), monthly_events(events, spec), spec)
+    return mart_of(
+        monthly(readings, spec, partitions), monthly_events(events, spec, partitions=partitions), spec
+    )
 
 
 def mart_of(

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftmart.functions.expressions import name
 from driftmart.ml import baseline
 from driftmart.operators import analysis, quality, reconcile, series
 from driftmart.operators.events import event_monthly
@@ -152,11 +153,23 @@ def reports(monitoring: DataFrame, spec: MonitoringSpec = STATION_MODE) -> dict[
 
 
 def mart_by_sql(
-    spark: SparkSession, tables: Mapping[str, DataFrame], spec: MonitoringSpec = STATION_MODE
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    spec: MonitoringSpec = STATION_MODE,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """The monitoring mart from its SQL formulation."""
+    """The monitoring mart from its SQL formulation.
+
+    Hints deal its two aggregates by entity, as ``mart.by_entity`` does, so that the windows,
+    the event join and a later join of marts move no wide row.
+    """
+    hint = f"/*+ REPARTITION({f'{partitions}, ' if partitions else ''}{name(spec.entity)}) */"
+    ctes = [
+        (cte, f"SELECT {hint} * FROM (\n{body}\n) grouped" if cte in ("monthly", "event_months") else body)
+        for cte, body in ansi.mart_ctes("{readings}", "{log}", spec)
+    ]
     return spark.sql(
-        ansi.monitoring_mart_sql("{readings}", "{log}", spec),
+        ansi.with_query(ctes, "SELECT * FROM mart"),
         readings=tables["measurements"],
         log=tables["events"],
     )

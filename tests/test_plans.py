@@ -6,7 +6,9 @@ import pytest
 
 import __spark_entry__ as contract
 
+from driftmart.plans import mart
 from driftmart.plans.queries import REGISTRY
+from driftmart.sources import star
 
 EAGER = {"saved_profile", "csv_observed_check", "mart_kept_up", "ml_ready_kept_up", "reconcile_saved_summary", "reconcile_saved_mismatches", "reconcile_saved_by_column"} | { "csv_load_row_counts", "csv_load_check", "csv_mart_roundtrip", "parquet_ml_roundtrip"} | {
     "ml_predictions",
@@ -94,3 +96,21 @@ def test_reports_are_top_k(no_broadcast, small):
 def test_duplicates_are_found_without_a_window(no_broadcast, small):
     plan = plan_of(no_broadcast, small, "grain_duplicates")
     assert "Window" not in plan and "LeftSemi" in plan
+
+
+def test_mart_from_sql_text_moves_no_wide_row(no_broadcast, small):
+    plan = plan_of(no_broadcast, small, "reconcile_implementations")
+    keys = [re.sub(r"#\d+L?", "", k) for k in hash_exchanges(plan)]
+    assert keys.count("station_id") == 4 and len(keys) == 8
+    assert all("_groupingexpression" in k for k in keys if k != "station_id")
+    assert "hashpartitioning" not in plan[: plan.index("Window [")]
+
+
+def test_partitions_of_wide_rows_are_not_merged(no_broadcast, small):
+    spark = no_broadcast
+    assert mart.partitions_for(spark.range(20 * mart.READINGS_PER_PARTITION + 1)) == 21
+    assert mart.partitions_for(spark.range(5)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mart.monitoring_mart(star.measurements(spark, small), star.events(spark, small), star.SPEC, partitions=19)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(station_id#\d+L?, 19\)", plan)) == 2 and len(hash_exchanges(plan)) == 4
+    assert dealt.rdd.getNumPartitions() == 19
