@@ -18,6 +18,8 @@ LEFT_SUFFIX = "_pd"
 RIGHT_SUFFIX = "_sql"
 ORIGIN = "merge_flag"
 BOTH, LEFT_ONLY, RIGHT_ONLY = "both", "left_only", "right_only"
+# Saved keys take a byte or two each, so by file size Spark would broadcast millions of them.
+BROADCAST_ROWS = 100_000
 
 
 def shared_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -197,12 +199,17 @@ def staged(
     Meant for saved results that agree mostly: rows that agree to the last bit never move.
     Rows that differ are read again from both sides and compared with tolerance, so both
     sides should be saved or cheap. The narrow pairs are written to the shared folder.
+    Where more than ``BROADCAST_ROWS`` rows differ, all wide rows move to find them, unless
+    both sides are saved in as many buckets of a ``never_null`` key: then none does.
     """
     path = shared_folder(left.sparkSession, "reconcile-pairs")
     narrow_pairs(left, right, keys, columns, never_null).write.parquet(path)
     pairs = left.sparkSession.read.parquet(path)
     wanted = pairs.where("differs").select(*[F.col(f"`{k}`").alias(f"_wanted_{k}") for k in keys])
-    if wanted.isEmpty():
+    differing = wanted.count()
+    if differing > BROADCAST_ROWS:
+        wanted = wanted.hint("merge")
+    if differing == 0:
         # No job ever reads a wide column.
         parts = [df.where(F.lit(False)) for df in (left, right)]
     else:

@@ -114,3 +114,11 @@ def test_partitions_of_wide_rows_are_not_merged(no_broadcast, small):
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\(station_id#\d+L?, 19\)", plan)) == 2 and len(hash_exchanges(plan)) == 4
     assert dealt.rdd.getNumPartitions() == 19
+
+
+@pytest.mark.parametrize("name", ["reconcile_saved_mismatches", "reconcile_saved_by_column", "reconcile_saved_summary"])
+def test_saved_comparison_moves_only_the_keys_that_differ(no_broadcast, small, name):
+    plan = plan_of(no_broadcast, small, name)
+    keys = hash_exchanges(plan)
+    assert keys and all("_wanted_station_id" in k for k in keys)
+    assert "SortMergeJoin" in plan

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,21 @@ def test_equal_results_move_no_wide_column(spark, tmp_path):
         assert [r.k for r in found.mismatches().collect()] == [5]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_differing_keys_are_not_broadcast(spark, tmp_path, monkeypatch):
+    rows = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
+    for side in ("left", "right"):
+        rows.write.parquet(f"{tmp_path}/{side}")
+    left, right = (spark.read.parquet(f"{tmp_path}/{side}") for side in ("left", "right"))
+    changed = right.withColumn("v", F.when(F.col("k") < 50, -1).otherwise(F.col("v")))
+
+    def joins(limit):
+        monkeypatch.setattr(reconcile, "BROADCAST_ROWS", limit)
+        both = reconcile.staged(left, changed, ["k"], never_null=("k",))
+        assert both.mismatches().count() == 50
+        plan = both.detail._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"(\w+Join) [^\n]*LeftSemi", plan)
+
+    assert joins(50) == ["BroadcastHashJoin"] * 2
+    assert joins(49) == ["SortMergeJoin"] * 2
