@@ -4,6 +4,7 @@ import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
+from driftmart.plans.queries import REGISTRY
 from driftmart.session import shared_folder
 from driftmart.sources import files
 from driftmart.sources.schemas import EVENTS, TABLES
@@ -98,3 +99,17 @@ def test_one_shared_folder_in_local_mode_and_no_setting_changed():
     first, second = (shared_folder(session, "x") for _ in range(2))
     assert os.path.dirname(first) == os.path.dirname(second) and first != second
     assert session.sparkContext.folder is None and session.setting is None
+
+
+def test_compressed_csv_keeps_every_value(spark, tmp_path):
+    df = files.read_csv(spark, write(tmp_path, EVENTS_CSV), EVENTS)
+    files.write_csv(df, str(tmp_path / "out.csv"), compression="gzip")
+    again = files.read_csv(spark, str(tmp_path / "out.csv"), EVENTS)
+    assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+    assert all(path.endswith(".csv.gz") for path in again.inputFiles())
+
+
+def test_mart_is_exported_compressed(spark, small):
+    exported, direct = (REGISTRY[name](spark, small) for name in ("csv_mart_roundtrip", "monitoring_mart"))
+    assert exported.inputFiles() and all(path.endswith(".csv.gz") for path in exported.inputFiles())
+    assert sorted(map(str, exported.collect())) == sorted(map(str, direct.collect()))
