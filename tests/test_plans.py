@@ -122,3 +122,14 @@ def test_saved_comparison_moves_only_the_keys_that_differ(no_broadcast, small, n
     keys = hash_exchanges(plan)
     assert keys and all("_wanted_station_id" in k for k in keys)
     assert "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize(
+    "name", ["reconcile_summary", "reconcile_mismatches", "reconcile_mismatch_origins", "reconcile_by_column"]
+)
+def test_partitions_of_a_comparison_grow_with_the_readings(no_broadcast, small, monkeypatch, name):
+    readings = star.measurements(no_broadcast, small).count()
+    monkeypatch.setattr(mart, "READINGS_PER_PARTITION", readings // 20)
+    plan = plan_of(no_broadcast, small, name)
+    dealt = {int(n) for n in re.findall(r"Exchange hashpartitioning\(station_id#\d+L?, (\d+)\)", plan)}
+    assert dealt == {-(-readings // (readings // 20))} and min(dealt) >= 20
